@@ -8,9 +8,10 @@ probability of 4e-8. Pairs under the distance threshold are confirmed on the ful
 components.
 
 Documents with equal sets are one class from the start. Links between classes are found in rounds, so that a bucket never
-gives all its pairs: first each member with the smallest of its bucket, and of salted parts of it; then, only between
-classes of a bucket that no chain of links has joined yet, the pairs that are left. What can be linked at all is
-compared before two components stay apart, so the components are those of all links.
+gives all its pairs: first each member with the smallest of its bucket, then of salted parts of it, and last, only between
+classes of a bucket that no chain of links has joined yet, the pairs that are left. Shingles that no other document of
+these buckets has bound what a document can be linked with, so most near pairs that are no links are never made. Whatever
+can be linked is compared before two components stay apart, so the components are those of all links.
 
 Defined results: a null, empty or wordless text has n_shingles 0 and is linked with nothing; fewer words than a shingle
 make one; rows that share a doc_id are one node (links through equal sets of any of
@@ -28,14 +29,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandline.llm.shared import cut, small
 from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, fold, mix, signed, window_hashes
 
 SHINGLE, CHUNKS, WIDTH, ERRORS, BITS = 5, 10, 4, 1, 16
-PERCENT, SALTS = 80, (1, 16, 256)
+PERCENT, SALTS = 80, (16,)
 PLACES = list(combinations(range(WIDTH), WIDTH - ERRORS))
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
 _rng = np.random.default_rng(20)
@@ -58,7 +59,7 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(documents: DataFrame, size: int) -> DataFrame:
-    """Per row: doc_id, n (set size), k1, k2 (digest of the set), signature (CHUNKS * WIDTH values of BITS bits, as one binary), keys (of the buckets)."""
+    """Per row: doc_id, n (set size), k1, k2 (digest of the set), signature (CHUNKS * WIDTH values of BITS bits), keys (of the buckets)."""
     kind = dict(documents.dtypes)["doc_id"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,10 +91,10 @@ def _signatures(documents: DataFrame, size: int) -> DataFrame:
             flat = signed(np.concatenate(keys).ravel()) if keys else np.empty(0, np.int64)
             k = np.concatenate(k) if k else np.empty((0, 2), U)
             per = CHUNKS * len(PLACES)
-            packed = pa.Array.from_buffers(pa.binary(2 * CHUNKS * WIDTH), rows, [None, pa.py_buffer(np.ascontiguousarray(sig).tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(signed(k[:, 0])), pa.array(signed(k[:, 1])), packed.cast(pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * per, pa.int32()), pa.array(flat))], names=["doc_id", "n", "k1", "k2", "signature", "keys"])
+            packed = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * CHUNKS * WIDTH, pa.int32()), pa.array(np.ascontiguousarray(sig).ravel().view(np.int16)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(signed(k[:, 0])), pa.array(signed(k[:, 1])), packed, pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * per, pa.int32()), pa.array(flat))], names=["doc_id", "n", "k1", "k2", "signature", "keys"])
 
-    return documents.mapInArrow(step, f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, signature binary, keys array<bigint>")
+    return documents.mapInArrow(step, f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, signature array<smallint>, keys array<bigint>")
 
 
 def _sets(documents: DataFrame, size: int) -> DataFrame:
@@ -126,17 +127,27 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         new = labels.join(seen, labels.node == seen.a).select("node", F.col("label").alias("was"), F.least("label", "other").alias("label"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
         new = new.join(jump, new.label == jump["at"], "left").select("node", "was", F.least("label", "further").alias("label"))
-        new = cut(new, "labels")
-        changed = new.where("was <> label").limit(1).count()
+        told = Observation()
+        new = cut(new.observe(told, F.count_if(F.col("was") != F.col("label")).alias("changed")), "labels")
         labels = new.select("node", "label")
-        if not changed:
+        if not told.get["changed"]:
             return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """The candidate pairs (a, b, na, nb) whose full sets are similar enough."""
-    ids = small(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    sets = cut(_sets(documents.join(ids, "doc_id", "left_semi"), size).groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "sets")
+def _private(sets: DataFrame) -> DataFrame:
+    """doc_id and how many of its shingles no other of these documents has."""
+    spread = sets.select("doc_id", F.explode("shingles").alias("s"))
+    return spread.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("doc_id")).where("m = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _possible(percent: int) -> Column:
+    """Whether a pair can be similar enough at all: neither's private shingles are in the intersection, both's are in the union."""
+    common = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
+    return 100 * common >= percent * F.greatest(F.col("na") + F.col("ob"), F.col("nb") + F.col("oa"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -154,46 +165,63 @@ def classes(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     buckets = cut(reps.select("rep", F.explode("keys").alias("key")), "buckets")
     shared = buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     buckets = cut(buckets.join(shared, "key", "left_semi"), "buckets")
-    places = F.transform(F.sequence(F.lit(0), F.lit(CHUNKS * WIDTH - 1)), lambda i: F.substr(F.col("signature"), 2 * i + 1, F.lit(2)))
-    signatures = cut(reps.join(small(buckets.select("rep").distinct()), "rep", "left_semi").select("rep", "n", places.alias("p")), "places")
     # rows that share a doc_id are one node, so their classes are linked
     ties = known.groupBy("doc_id", "k1", "k2").count().groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id")
     tied = known.join(small(ties), "doc_id", "left_semi").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = cut(tied.distinct(), "links")
-    labels: DataFrame | None = None
     nodes = reps.select(F.col("rep").alias("node")).union(tied.select("b")).distinct()
+    members = reps.join(small(buckets.select("rep").distinct()), "rep", "left_semi").select("rep", "n", F.col("signature").alias("p"), F.lit(0).cast("bigint").alias("own"))
+    members = cut(members.dropDuplicates(["rep"]), "members")
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Near pairs of different components, once each."""
-        pairs = pairs.distinct()
-        if labels is not None:
-            for x in ("a", "b"):
-                pairs = pairs.join(labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x)
-            pairs = pairs.where("ca <> cb")
+    def sides(pairs: DataFrame, members: DataFrame) -> DataFrame:
+        """Pairs with both sides' sizes, signatures and private shingles, if near and possible."""
         for x in ("a", "b"):
-            pairs = pairs.join(signatures.select(F.col("rep").alias(x), F.col("p").alias(f"p{x}")), x)
-        return cut(pairs.where(_near("pa", "pb")).select("a", "b"), "pairs")
-
-    for salts in SALTS:
-        salted = buckets.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(salts)), F.lit(salts)))
-        least = salted.groupBy("key", "salt").agg(F.min("rep").alias("lo"))
-        pairs = salted.join(least, ["key", "salt"]).where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
-        pairs = candidates(pairs)
-        if pairs.limit(1).count():
-            links = cut(links.unionByName(_confirmed(pairs, docs, size, percent)), "links")
-            labels = cut(components(nodes, links), "components")
-        elif labels is None:
-            labels = cut(components(nodes, links), "components")
-    # what is left: pairs of a bucket in different components
-    named = buckets.join(labels.select(F.col("node").alias("rep"), "component"), "rep")
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    named = named.join(mixed, "key", "left_semi").join(signatures.select("rep", "p"), "rep")
-    x, y = named.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("p").alias("pa")), named.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("p").alias("pb"))
-    rest = cut(x.join(y, (x.key == y.key) & (F.col("ca") < F.col("cb")) & _near("pa", "pb")).select("a", "b").distinct(), "pairs")
-    rest = rest.join(links, ["a", "b"], "left_anti")
-    if rest.limit(1).count():
-        links = cut(links.unionByName(_confirmed(rest, docs, size, percent)), "links")
-        labels = cut(components(nodes, links), "components")
+            pairs = pairs.join(members.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"), F.col("own").alias(f"o{x}")), x)
+        return pairs.where(_possible(percent) & _near("pa", "pb")).select("a", "b")
+
+    def stars(buckets: DataFrame, salts: tuple[int, ...]) -> DataFrame:
+        """Each member of a bucket, or of salted parts of it, with the smallest there."""
+        parts = F.transform(F.array(*[F.lit(m) for m in salts]), lambda m: F.struct(m.alias("m"), F.pmod(F.xxhash64("rep", m), m).alias("salt")))
+        salted = buckets.select("rep", "key", F.explode(parts).alias("part"))
+        least = salted.groupBy("key", "part").agg(F.min("rep").alias("lo"))
+        return salted.join(least, ["key", "part"]).where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        ids = small(ids.select(F.col("rep").alias("doc_id")))
+        return cut(_sets(docs.join(ids, "doc_id", "left_semi"), size).groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "sets")
+
+    # round 1: with the smallest of each bucket
+    pairs = cut(sides(stars(buckets, (1,)), members), "pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
+    links = cut(_confirmed(pairs, sets, percent).union(tied.distinct()), "links")
+    labels = cut(components(nodes, links), "components")
+
+    def mixed(labels: DataFrame) -> DataFrame:
+        """The buckets that hold several components."""
+        named = buckets.join(labels.select(F.col("node").alias("rep"), "component"), "rep")
+        keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        return named.join(keys, "key", "left_semi")
+
+    # the documents of such buckets: how much of each set is its own bounds what it can be linked with
+    left = cut(mixed(labels), "mixed")
+    sets = sets_of(left.select("rep").distinct())
+    members = members.drop("own").join(_private(sets).withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("bigint")))
+    members = cut(members.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "members")
+    # round 2: those that can be linked, with the smallest of salted parts
+    named = labels.select("node", "component")
+    pairs = stars(left.join(members.select("rep"), "rep", "left_semi"), SALTS)
+    for x in ("a", "b"):
+        pairs = pairs.join(named.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x)
+    pairs = cut(sides(pairs.where("ca <> cb"), members), "pairs")
+    links = cut(links.union(_confirmed(pairs, sets, percent)), "links")
+    labels = cut(components(nodes, links), "components")
+    # round 3: all near and possible pairs of a bucket in different components
+    left = mixed(labels).join(members.select("rep", "n", "p", "own"), "rep")
+    x = left.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("own").alias("oa"))
+    y = left.select(F.col("key").alias("other"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("own").alias("ob"))
+    rest = x.join(y, (x.key == y.other) & (F.col("ca") < F.col("cb")) & _possible(percent) & _near("pa", "pb")).select("a", "b").distinct()
+    more = cut(_confirmed(cut(rest, "pairs"), sets, percent), "links")
+    if more.limit(1).count():
+        labels = cut(components(nodes, links.union(more)), "components")
     owner = reps.join(labels, reps.rep == labels.node).select("k1", "k2", "component")
     named = known.select("doc_id", "n", "k1", "k2").join(owner, ["k1", "k2"])
     alone = signed_rows.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
