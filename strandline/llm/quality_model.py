@@ -105,8 +105,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5) -> tuple[np.ndarr
             logit = hidden @ output + bias
             error = np.exp(logit - logit.max(1, keepdims=True))
             error = error / error.sum(1, keepdims=True) - target
-            back = (error @ output.T) * rate * BOOST
-            output -= rate * (hidden.T @ error)
+            # steps in proportion to what a document's features can bear: short texts have few and heavy ones
+            heavy = np.bincount(owner, weights=weight * weight, minlength=len(target))
+            back = (error @ output.T) * (rate * np.minimum(BOOST, 0.5 / np.maximum(heavy, 1e-9)))[:, None] / max(1.0, float((output * output).sum()) / DIMENSIONS)
+            output -= rate * (hidden.T @ error) / (1 + float((hidden * hidden).sum(1).mean()) * len(target))
             bias -= rate * error.mean(0)
             vectors[distinct] = own - np.stack([np.bincount(inverse, weights=back[owner, d] * weight, minlength=len(distinct)) for d in range(DIMENSIONS)], 1)
     return (vectors @ (output[:, 1] - output[:, 0])).astype(np.float32), float(bias[1] - bias[0])

@@ -65,7 +65,8 @@ def count(words: Words) -> np.ndarray:
         h = _line_hashes(data, cuts[:-1], ends)
         order = np.lexsort((h[real], row[real]))
         r, x = row[real][order], h[real][order]
-        again = np.concatenate([[False], (r[1:] == r[:-1]) & (x[1:] == x[:-1])])
+        again = np.zeros(len(r), bool)
+        again[1:] = (r[1:] == r[:-1]) & (x[1:] == x[:-1])
         out[:, 3] = np.bincount(r[again], minlength=n)
         out[:, 5] = np.bincount(row[real], minlength=n)
     if len(words.start) >= 3:
@@ -75,8 +76,9 @@ def count(words: Words) -> np.ndarray:
         key = mix(g[at] + words.doc[at].astype(U) * U(0x9E3779B97F4A7C15))
         order = np.argsort(key)
         s = key[order]
-        equal = s[1:] == s[:-1]
-        twice = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
+        twice = np.zeros(len(s), bool)
+        twice[1:] = s[1:] == s[:-1]
+        twice[:-1] |= twice[1:].copy()
         hit = np.zeros(len(words.start), bool)
         found = at[order[twice]]
         hit[found] = hit[found + 1] = hit[found + 2] = True
