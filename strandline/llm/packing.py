@@ -13,7 +13,9 @@ sequence's number there. Every sequence is padded to the window, so none has mor
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,10 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, SEPARATOR, GROUP_PIECES, CACHE_WORDS = 4096, 2, 16_384, 150_000
+from strandline.llm.words import BLANK_SEPARATED, Words, chunks
+
+WINDOW, SEPARATOR, GROUP_PIECES, CACHE_WORDS = 4096, 2, 16_384, 500_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-#: ASCII blanks: the tokenizer's normaliser turns runs of white space into one space and drops it, so texts can be cut there.
-_WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Texts can be cut at ASCII blanks, as the tokenizer's normaliser turns runs of white space into one space and drops it.
+#: Words of printable ASCII and Latin-1 letters, which the normaliser only lower-cases; its pre-tokens for
+#: those; and the byte alphabet of byte-level models (printable bytes stand for themselves, the others for 256 and up).
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = [chr(b) if b in _SHOWN else chr(256 + sum(x not in _SHOWN for x in range(b))) for b in range(256)]
 _LOADED: dict = {}
 
 
@@ -37,13 +46,27 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids as little-endian 32-bit bytes; each blank-separated word is encoded once while it stays in a bounded cache."""
+    """Ids of blank-separated words, each encoded once while it stays in a cache of two generations (``CACHE_WORDS`` each)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+        self.new: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+
+    def piece(self, text: str) -> bytes:
+        """The ids of one pre-token of a plain word, straight from the model."""
+        got = self.pieces.get(text)
+        if got is None:
+            if len(self.pieces) > CACHE_WORDS:
+                self.pieces.clear()
+            ids = [t.id for t in self.model.tokenize(text if text.isascii() else "".join(map(_BYTES.__getitem__, text.encode())))]
+            got = self.pieces[text] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -51,40 +74,63 @@ class Encoder:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        cache = self.cache
-        for text in texts:
-            words = _WORD.findall(text)
-            new = [w for w in dict.fromkeys(words) if w not in cache]
-            if new:
-                if len(cache) + len(new) > CACHE_WORDS:
-                    cache.clear()
-                    new = list(dict.fromkeys(words))
-                for i in range(0, len(new), 4096):
-                    part = new[i : i + 4096]
-                    for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                        cache[w] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(cache.__getitem__, words))
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a chunk of texts, one after another, and where each text's begin, with the end."""
+        words = Words(data, off, BLANK_SEPARATED)
+        keys, one, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        keys, new, old = keys.tolist(), self.new, self.old
+        if len(new) + len(keys) > CACHE_WORDS:
+            self.old = old = new
+            self.new = new = {}
+        found = [new.get(k) for k in keys]
+        missing = []
+        for i, x in enumerate(found):
+            if x is None:
+                k = keys[i]
+                x = found[i] = old.get(k)
+                if x is None:
+                    missing.append(i)
+                else:
+                    new[k] = x
+        whole = []
+        for i in missing:
+            text = words.text(one[i]).decode()
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                found[i] = new[keys[i]] = b"".join(map(self.piece, _PIECE.findall(text.lower())))
+            else:
+                whole.append((i, text))
+        for at in range(0, len(whole), 1024):
+            part = whole[at : at + 1024]
+            for (i, _), e in zip(part, self.tokenizer.encode_batch_fast([x for _, x in part], add_special_tokens=False), strict=True):
+                found[i] = new[keys[i]] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        pool = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        each = size[place]
+        begin = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.repeat(start[place] - begin[:-1], each) + np.arange(begin[-1])]
+        return ids, begin[words.first]
 
 
 def pieces(documents: DataFrame, tokenizer: str, window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each document cut at multiples of the window."""
-    end = np.array([separator], "<u4").tobytes()
+    end = struct.pack("<I", separator)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
             owner: list[int] = []
-            for at in range(0, batch.num_rows, 256):
-                texts = [x or "" for x in batch.column(1).slice(at, 256).to_pylist()]
-                for i, ids in enumerate(encoder.encode(texts), at):
-                    ids += end
-                    n = len(ids) // 4
+            for lo, hi, data, off in chunks(batch.column(1)):
+                ids, first = encoder.encode(data, off)
+                raw, first = memoryview(ids.tobytes()), first.tolist()
+                for i in range(hi - lo):
+                    n = first[i + 1] - first[i] + 1
                     for start in range(0, n, window):
-                        part = ids[4 * start : 4 * (start + window)]
-                        rows.append((start, len(part) // 4, zlib.crc32(part), n))
-                        owner.append(i)
+                        size = min(window, n - start)
+                        part = zlib.crc32(raw[4 * (first[i] + start) : 4 * min(first[i] + start + size, first[i + 1])])
+                        rows.append((start, size, zlib.crc32(end, part) if start + size == n else part, n))
+                        owner.append(lo + i)
             table = np.array(rows, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(np.ascontiguousarray(x)) for x in table.T)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
