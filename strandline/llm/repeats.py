@@ -101,7 +101,7 @@ def _sha(words: Words, a: int, b: int, gone: np.ndarray | None = None) -> str:
 
 
 def _windows(documents: DataFrame, shared: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Per shared anchor and stretch of windows that picked it: doc_id, first (window start), digest, hashes (of its windows)."""
+    """Per distinct stretch of windows that picked the same shared anchor: doc_id, rk, firsts (where it starts in the document), digest, hashes (of its windows)."""
     kind = dict(documents.dtypes)["doc_id"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,21 +121,27 @@ def _windows(documents: DataFrame, shared: DataFrame, window: int, anchor: int)
                         hit = known[place] == g[at]
                         change = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1])]))
                         whole = window_hashes(own, window)
+                        known_at: dict[int, list[int]] = {}
                         for a, b in zip(change.tolist(), [*change[1:].tolist(), len(at)], strict=True):
                             if hit[a]:
                                 part = whole[a:b]
+                                digest = fold(part, np.array([0, b - a]), 9)[0]
+                                if int(digest) in known_at:
+                                    known_at[int(digest)].append(a)
+                                    continue
+                                known_at[int(digest)] = [a]
                                 rows.append(row)
-                                firsts.append(a)
-                                digests.append(fold(part, np.array([0, b - a]), 9)[0])
+                                firsts.append(known_at[int(digest)])
+                                digests.append(digest)
                                 lists.append(part)
                     row += 1
             sizes = [len(x) for x in lists]
             flat = signed(np.concatenate(lists)) if lists else np.empty(0, np.int64)
             hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), batch.column(3).take(pa.array(rows, pa.int64())), pa.array(firsts, pa.int64()), pa.array(signed(np.array(digests, U))), hashes], names=["doc_id", "rk", "first", "digest", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), batch.column(3).take(pa.array(rows, pa.int64())), pa.array(firsts, pa.list_(pa.int64())), pa.array(signed(np.array(digests, U))), hashes], names=["doc_id", "rk", "firsts", "digest", "hashes"])
 
     joined = documents.join(shared, ["doc_id", "rk"]).select("doc_id", "text", "anchors", "rk")
-    return joined.mapInArrow(step, f"doc_id {kind}, rk bigint, first bigint, digest bigint, hashes array<bigint>")
+    return joined.mapInArrow(step, f"doc_id {kind}, rk bigint, firsts array<bigint>, digest bigint, hashes array<bigint>")
 
 
 def deduplicated(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -156,11 +162,11 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     least = stretches.groupBy("digest", F.size("hashes").alias("n")).agg(F.min("doc_id").alias("least"))
     told = stretches.withColumn("n", F.size("hashes")).join(least, ["digest", "n"])
     settled = F.col("doc_id") > F.col("least")
-    told = cut(told.select(*row, "first", "n", settled.alias("settled"), F.when(~settled, F.col("hashes")).alias("hashes")), "told")
-    single = told.where("not settled").select(*row, "first", F.posexplode("hashes").alias("i", "w"))
+    told = cut(told.select(*row, "firsts", "n", settled.alias("settled"), F.when(~settled, F.col("hashes")).alias("hashes")), "told")
+    single = told.where("not settled").select(*row, "firsts", F.posexplode("hashes").alias("i", "w"))
     early = single.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w", "least")
-    found = single.join(early, "w").where("doc_id > least").select(*row, (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("n"))
-    ranges = told.where("settled").select(*row, "first", "n").unionByName(found)
+    found = single.join(early, "w").where("doc_id > least").select(*row, F.explode("firsts").alias("first"), "i").select(*row, (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("n"))
+    ranges = told.where("settled").select(*row, F.explode("firsts").alias("first"), "n").unionByName(found)
     gone = cut(ranges.groupBy(*row).agg(F.collect_set(F.struct("first", "n")).alias("ranges")), "ranges")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
