@@ -28,7 +28,8 @@ def plain(v):
 
 @pytest.mark.parametrize("name", list(catalogue.QUERIES))
 def test_query_equals_sql(spark, con, name):
-    df = catalogue.QUERIES[name](spark, DATA)
+    # queries without SQL are held to have rows, which needs histories longer than the smallest scale has
+    df = catalogue.QUERIES[name](spark, DATA if name in catalogue.ORACLE_SQL else DATA.replace("0.001", "0.01"))
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     if name not in catalogue.ORACLE_SQL:
