@@ -9,9 +9,10 @@ components.
 
 Documents with equal sets are one class from the start. Links between classes are found in rounds, so that a bucket never
 gives all its pairs: first each member with the smallest of its bucket, then of salted parts of it, and last, only between
-classes of a bucket that no chain of links has joined yet, the pairs that are left. Shingles that no other document of
-these buckets has bound what a document can be linked with, so most near pairs that are no links are never made. Whatever
-can be linked is compared before two components stay apart, so the components are those of all links.
+classes of a bucket that no chain of links has joined yet, the pairs that are left, each in the first bucket it shares
+only. For those, each set is counted in ``PARTS`` parts by hash, without the shingles that no other document of these
+buckets has: the parts' smaller counts bound the intersection from above, so most near pairs that are no links are never
+made. Whatever can be linked is compared before two components stay apart, so the components are those of all links.
 
 Defined results: a null, empty or wordless text has n_shingles 0 and is linked with nothing; fewer words than a shingle
 make one; rows that share a doc_id are one node (links through equal sets of any of
@@ -36,7 +37,7 @@ from strandline.llm.shared import cut, small
 from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, fold, mix, signed, window_hashes
 
 SHINGLE, CHUNKS, WIDTH, ERRORS, BITS = 5, 10, 4, 1, 16
-PERCENT, SALTS = 80, (16,)
+PERCENT, SALTS, PARTS = 80, (16,), 128
 PLACES = list(combinations(range(WIDTH), WIDTH - ERRORS))
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
 _rng = np.random.default_rng(20)
@@ -134,16 +135,44 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
 
 
-def _private(sets: DataFrame) -> DataFrame:
-    """doc_id and how many of its shingles no other of these documents has."""
+def _counted(sets: DataFrame) -> DataFrame:
+    """rep and how many of its shingles that other of these documents have too fall in each of PARTS parts."""
+    part = F.pmod("s", F.lit(PARTS)).cast("int").alias("part")
     spread = sets.select("doc_id", F.explode("shingles").alias("s"))
-    return spread.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("doc_id")).where("m = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    alone = spread.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("doc_id")).where("m = 1").groupBy("doc_id", part).agg(F.count(F.lit(1)).alias("own"))
+    alone = alone.groupBy("doc_id").agg(F.collect_list("part").alias("parts"), F.collect_list("own").alias("owns"))
+    kind = dict(sets.dtypes)["doc_id"]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.zeros((batch.num_rows, PARTS), np.int32)
+            for i in range(batch.num_rows):
+                counts[i] = np.bincount(np.asarray(batch.column(1)[i].values, np.int64) % PARTS, minlength=PARTS)
+                if batch.column(2)[i].is_valid:
+                    counts[i] -= np.bincount(np.asarray(batch.column(2)[i].values), np.asarray(batch.column(3)[i].values), PARTS).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * PARTS, pa.int32()), pa.array(counts.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["rep", "h"])
+
+    return sets.join(alone, "doc_id", "left").select("doc_id", "shingles", "parts", "owns").mapInArrow(step, f"rep {kind}, h array<int>")
+
+
+def _total(counts: str | Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+
+def _possible(percent: int, common: Column | None = None) -> Column:
+    """Whether a pair can be similar enough at all: the intersection is no larger than common (the sum of the parts' smaller counts)."""
+    enough = lambda c: 100 * c >= percent * (F.col("na") + F.col("nb") - c)
+    if common is not None:
+        return enough(common)
+    return F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda s, x: s + x, enough)
 
 
-def _possible(percent: int) -> Column:
-    """Whether a pair can be similar enough at all: neither's private shingles are in the intersection, both's are in the union."""
-    common = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
-    return 100 * common >= percent * F.greatest(F.col("na") + F.col("ob"), F.col("nb") + F.col("oa"))
+def _first_bucket() -> Column:
+    """The first of the buckets (numbered as keys are) that two signatures share. One loop over literals: code per bucket would be too long to be compiled."""
+    buckets = F.array(*[F.array(*[F.lit(c * WIDTH + q) for q in places]) for c in range(CHUNKS) for places in PLACES])
+    shared = F.transform(buckets, lambda places: F.forall(places, lambda q: F.col("pa")[q] == F.col("pb")[q]))
+    return F.array_position(shared, True) - 1
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,21 +191,21 @@ def classes(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     known = signed_rows.where("doc_id is not null and n > 0")
     least = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("keys").alias("keys"), F.first("n").alias("n"))
     reps = cut(least.select("rep", "n", "signature", "keys", "k1", "k2"), "classes")
-    buckets = cut(reps.select("rep", F.explode("keys").alias("key")), "buckets")
+    buckets = cut(reps.select("rep", F.posexplode("keys").alias("place", "key")), "buckets")
     shared = buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     buckets = cut(buckets.join(shared, "key", "left_semi"), "buckets")
     # rows that share a doc_id are one node, so their classes are linked
     ties = known.groupBy("doc_id", "k1", "k2").count().groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id")
     tied = known.join(small(ties), "doc_id", "left_semi").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     nodes = reps.select(F.col("rep").alias("node")).union(tied.select("b")).distinct()
-    members = reps.join(small(buckets.select("rep").distinct()), "rep", "left_semi").select("rep", "n", F.col("signature").alias("p"), F.lit(0).cast("bigint").alias("own"))
+    members = reps.join(small(buckets.select("rep").distinct()), "rep", "left_semi").select("rep", "n", F.col("signature").alias("p"))
     members = cut(members.dropDuplicates(["rep"]), "members")
 
-    def sides(pairs: DataFrame, members: DataFrame) -> DataFrame:
-        """Pairs with both sides' sizes, signatures and private shingles, if near and possible."""
+    def sides(pairs: DataFrame, members: DataFrame, possible: Column) -> DataFrame:
+        """The pairs that are near and possible."""
         for x in ("a", "b"):
-            pairs = pairs.join(members.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"), F.col("own").alias(f"o{x}")), x)
-        return pairs.where(_possible(percent) & _near("pa", "pb")).select("a", "b")
+            pairs = pairs.join(members.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}{x}") for c in members.columns if c != "rep"]), x)
+        return pairs.where(possible & _near("pa", "pb")).select("a", "b")
 
     def stars(buckets: DataFrame, salts: tuple[int, ...]) -> DataFrame:
         """Each member with two of the smallest of its buckets, or of salted parts of them: the least, and the one met most often. A start only: round 3 misses nothing."""
@@ -191,7 +220,7 @@ def classes(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
         return cut(_sets(docs.join(ids, "doc_id", "left_semi"), size).groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "sets")
 
     # round 1: with the smallest of each bucket
-    pairs = cut(sides(stars(buckets, (1,)), members), "pairs")
+    pairs = cut(sides(stars(buckets, (1,)), members, _possible(percent, F.least("na", "nb"))), "pairs")
     sets = sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
     links = cut(_confirmed(pairs, sets, percent).union(tied.distinct()), "links")
     labels = cut(components(nodes, links), "components")
@@ -202,24 +231,24 @@ def classes(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
         keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         return named.join(keys, "key", "left_semi")
 
-    # the documents of such buckets: how much of each set is its own bounds what it can be linked with
+    # the documents of such buckets: what others have of each set bounds what it can be linked with
     left = cut(mixed(labels), "mixed")
     sets = sets_of(left.select("rep").distinct())
-    members = members.drop("own").join(_private(sets).withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("bigint")))
-    members = cut(members.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "members")
+    members = members.join(_counted(sets), "rep").withColumn("t", _total("h"))
+    members = cut(members.where(100 * F.col("t") >= percent * F.col("n")), "members")
     # round 2: those that can be linked, with the smallest of salted parts
     named = labels.select("node", "component")
     pairs = stars(left.join(members.select("rep"), "rep", "left_semi"), SALTS)
     for x in ("a", "b"):
         pairs = pairs.join(named.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x)
-    pairs = cut(sides(pairs.where("ca <> cb"), members), "pairs")
+    pairs = cut(sides(pairs.where("ca <> cb"), members, _possible(percent)), "pairs")
     links = cut(links.union(_confirmed(pairs, sets, percent)), "links")
     labels = cut(components(nodes, links), "components")
     # round 3: all near and possible pairs of a bucket in different components
-    left = mixed(labels).join(members.select("rep", "n", "p", "own"), "rep")
-    x = left.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("own").alias("oa"))
-    y = left.select(F.col("key").alias("other"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("own").alias("ob"))
-    rest = x.join(y, (x.key == y.other) & (F.col("ca") < F.col("cb")) & _possible(percent) & _near("pa", "pb")).select("a", "b").distinct()
+    left = mixed(labels).join(members, "rep")
+    x = left.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("h").alias("ha"), F.col("t").alias("ta"), "place")
+    y = left.select(F.col("key").alias("other"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("h").alias("hb"), F.col("t").alias("tb"))
+    rest = x.join(y, (x.key == y.other) & (F.col("ca") < F.col("cb")) & _possible(percent, F.least("ta", "tb")) & _near("pa", "pb") & (F.col("place") == _first_bucket()) & _possible(percent)).select("a", "b")
     more = cut(_confirmed(cut(rest, "pairs"), sets, percent), "links")
     if more.limit(1).count():
         labels = cut(components(nodes, links.union(more)), "components")
