@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.words import BLANK_SEPARATED, Words, chunks
 
-WINDOW, SEPARATOR, GROUP_PIECES, CACHE_WORDS = 4096, 2, 16_384, 500_000
+WINDOW, SEPARATOR, GROUP_PIECES, CACHE_WORDS, CACHE_PIECES = 4096, 2, 16_384, 500_000, 100_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 #: Texts can be cut at ASCII blanks, as the tokenizer's normaliser turns runs of white space into one space and drops it.
 #: Words of printable ASCII and Latin-1 letters, which the normaliser only lower-cases; its pre-tokens for
@@ -45,6 +45,35 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches pool[start:start + size], one after another."""
+    end = np.cumsum(size)
+    return pool[np.repeat(start - end + size, size) + np.arange(int(size.sum()))]
+
+
+class _Ids:
+    """Ids by word hash, in sorted arrays: about 30 bytes a word."""
+
+    def __init__(self) -> None:
+        self.keys, self.start, self.size, self.pool = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is there, and the places of those that are."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return hit, at[hit]
+
+    def add(self, keys: np.ndarray, size: np.ndarray, pool: np.ndarray) -> None:
+        """New keys, sorted, and their ids one after another."""
+        at = np.searchsorted(self.keys, keys)
+        self.start = np.insert(self.start, at, len(self.pool) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
+        self.keys = np.insert(self.keys, at, keys)
+        self.pool = np.concatenate([self.pool, pool])
+
+
 class Encoder:
     """Ids of blank-separated words, each encoded once while it stays in a cache of two generations (``CACHE_WORDS`` each)."""
 
@@ -55,14 +84,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.pieces: dict[str, bytes] = {}
-        self.new: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.new, self.old = _Ids(), _Ids()
 
     def piece(self, text: str) -> bytes:
         """The ids of one pre-token of a plain word, straight from the model."""
         got = self.pieces.get(text)
         if got is None:
-            if len(self.pieces) > CACHE_WORDS:
+            if len(self.pieces) > CACHE_PIECES:
                 self.pieces.clear()
             ids = [t.id for t in self.model.tokenize(text if text.isascii() else "".join(map(_BYTES.__getitem__, text.encode())))]
             got = self.pieces[text] = struct.pack(f"<{len(ids)}I", *ids)
@@ -78,38 +106,35 @@ class Encoder:
         """The ids of a chunk of texts, one after another, and where each text's begin, with the end."""
         words = Words(data, off, BLANK_SEPARATED)
         keys, one, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        keys, new, old = keys.tolist(), self.new, self.old
-        if len(new) + len(keys) > CACHE_WORDS:
-            self.old = old = new
-            self.new = new = {}
-        found = [new.get(k) for k in keys]
-        missing = []
-        for i, x in enumerate(found):
-            if x is None:
-                k = keys[i]
-                x = found[i] = old.get(k)
-                if x is None:
-                    missing.append(i)
-                else:
-                    new[k] = x
+        if len(self.new.keys) + len(keys) > CACHE_WORDS:
+            self.new, self.old = _Ids(), self.new
+        new, old = self.new, self.old
+        start, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        hit, at = new.find(keys)
+        start[hit], size[hit] = new.start[at], new.size[at]
+        added = np.flatnonzero(~hit)
+        hit, at = old.find(keys[added])
+        start[added[hit]], size[added[hit]] = len(new.pool) + old.start[at], old.size[at]
+        missing = added[~hit]
+        found: list[bytes] = []
         whole = []
-        for i in missing:
-            text = words.text(one[i]).decode()
+        for j, i in enumerate(one[missing].tolist()):
+            text = words.text(i).decode()
             if _PLAIN.fullmatch(text) and "<|" not in text:
-                found[i] = new[keys[i]] = b"".join(map(self.piece, _PIECE.findall(text.lower())))
+                found.append(b"".join(map(self.piece, _PIECE.findall(text.lower()))))
             else:
-                whole.append((i, text))
-        for at in range(0, len(whole), 1024):
-            part = whole[at : at + 1024]
-            for (i, _), e in zip(part, self.tokenizer.encode_batch_fast([x for _, x in part], add_special_tokens=False), strict=True):
-                found[i] = new[keys[i]] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        pool = np.frombuffer(b"".join(found), "<u4")
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        start = np.cumsum(size) - size
-        each = size[place]
-        begin = np.concatenate([[0], np.cumsum(each)])
-        ids = pool[np.repeat(start[place] - begin[:-1], each) + np.arange(begin[-1])]
-        return ids, begin[words.first]
+                found.append(b"")
+                whole.append((j, text))
+        for first in range(0, len(whole), 1024):
+            part = whole[first : first + 1024]
+            for (j, _), e in zip(part, self.tokenizer.encode_batch_fast([x for _, x in part], add_special_tokens=False), strict=True):
+                found[j] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        each = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start[missing], size[missing] = len(new.pool) + len(old.pool) + np.cumsum(each) - each, each
+        pool = np.concatenate([new.pool, old.pool, np.frombuffer(b"".join(found), "<u4")])
+        new.add(keys[added], size[added], _gather(pool, start[added], size[added]))
+        begin = np.concatenate([[0], np.cumsum(size[place])])
+        return _gather(pool, start[place], size[place]), begin[words.first]
 
 
 def pieces(documents: DataFrame, tokenizer: str, window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
