@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.words import ALPHANUMERIC, U, Words, chunks, mix
+from strandline.llm.words import ALPHANUMERIC, U, Words, chunks, mix, tidy
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -208,7 +208,7 @@ def hit_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), spans, pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
 
-        df = df.mapInArrow(step, schema)
+        df = df.mapInArrow(tidy(step), schema)
     return df
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.words import BLANK_SEPARATED, Words, chunks
+from strandline.llm.words import BLANK_SEPARATED, Words, chunks, tidy
 
 WINDOW, SEPARATOR, GROUP_PIECES, CACHE_WORDS, CACHE_PIECES = 4096, 2, 16_384, 500_000, 100_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -36,7 +36,6 @@ _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = [chr(b) if b in _SHOWN else chr(256 + sum(x not in _SHOWN for x in range(b))) for b in range(256)]
-_LOADED: dict = {}
 
 
 def default_tokenizer() -> str:
@@ -96,12 +95,6 @@ class Encoder:
             got = self.pieces[text] = struct.pack(f"<{len(ids)}I", *ids)
         return got
 
-    @classmethod
-    def at(cls, path: str) -> Encoder:
-        if path not in _LOADED:
-            _LOADED[path] = cls(path)
-        return _LOADED[path]
-
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a chunk of texts, one after another, and where each text's begin, with the end."""
         words = Words(data, off, BLANK_SEPARATED)
@@ -142,7 +135,7 @@ def pieces(documents: DataFrame, tokenizer: str, window: int = WINDOW, separator
     end = struct.pack("<I", separator)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.at(tokenizer)
+        encoder = Encoder(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
             owner: list[int] = []
@@ -159,7 +152,7 @@ def pieces(documents: DataFrame, tokenizer: str, window: int = WINDOW, separator
             table = np.array(rows, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(np.ascontiguousarray(x)) for x in table.T)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(step, PIECES)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(step), PIECES)
 
 
 def combinations(lengths: np.ndarray, counts: np.ndarray, window: int, depth: int = 4, most: int = 6000) -> list[tuple[int, ...]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, fold, mix, window_hashes
+from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, fold, mix, tidy, window_hashes
 
 #: Rules and their grids of cutoffs: a document is rejected if its score is above the cutoff.
 RULES = {
@@ -103,7 +103,7 @@ def counted(documents: DataFrame, extra: list[str]) -> DataFrame:
             rows = np.concatenate(rows) if rows else np.zeros((0, len(COUNTS)), np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(np.ascontiguousarray(x)) for x in rows.T)], names=[*extra, *COUNTS])
 
-    return df.mapInArrow(step, fields)
+    return df.mapInArrow(tidy(step), fields)
 
 
 def scores() -> dict[str, F.Column]:
