@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -230,27 +231,31 @@ def without_spans(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """The columns of documents; hit spans are cut out of the texts (with the white space before them), and rows of which more than ``max_coverage`` of the words is hit go. Clean texts stay byte for byte; n_chars, if there, is counted anew where text was cut."""
     names = documents.columns
     key = "__strandline_row"
-    packed = documents.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in names]).alias("doc_id"), F.col("text"))
+    others = [F.col(f"`{c}`").alias(c) for c in names if c != "text"] or [F.lit(0).alias("none")]
+    packed = documents.select(F.struct(*others).alias("doc_id"), F.col("text"))
     df = hit_spans(packed, benchmark, window)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = batch.column(1).to_pylist(), []
+            text, keep, new = batch.column(1), [], []
             spans, counts = batch.column(3).to_pylist(), batch.column(2).to_pylist()
             for i, own in enumerate(spans):
                 keep.append(sum(x["end"] - x["start"] for x in own) <= max_coverage * counts[i])
                 if own:
-                    data = np.frombuffer(texts[i].encode(), np.uint8)
+                    data = np.frombuffer(text[i].as_py().encode(), np.uint8)
                     words = Words(data, np.array([0, len(data)]), ALPHANUMERIC, lower=True)
                     parts, at = [], 0
                     for x in own:
                         parts.append(data[at : words.start[x["start"]]].tobytes().rstrip(b" "))
                         at = int(words.end[x["end"] - 1])
-                    texts[i] = b"".join([*parts, data[at:].tobytes()]).decode()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([bool(x) for x in spans]), pa.array(keep)], names=[key, "text", "changed", "keep"])
+                    new.append(b"".join([*parts, data[at:].tobytes()]).decode())
+            changed = pa.array([bool(x) for x in spans], pa.bool_())
+            if new:
+                text = pc.replace_with_mask(text, changed, pa.array(new, text.type))
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, changed, pa.array(keep, pa.bool_())], names=[key, "text", "changed", "keep"])
 
     row = df.schema["doc_id"].dataType
-    out = df.mapInArrow(cut_out, _schema(row, key)).where("keep")
+    out = df.mapInArrow(tidy(cut_out), _schema(row, key)).where("keep")
     new = {"text": F.col("text"), "n_chars": F.when(F.col("changed"), F.length("text").cast(dict(documents.dtypes).get("n_chars", "long"))).otherwise(F.col(f"{key}.n_chars") if "n_chars" in names else F.lit(None))}
     return out.select(*[(new[c] if c in new else F.col(f"{key}.`{c}`")).alias(c) for c in names])
 
