@@ -6,8 +6,11 @@ from the longest known context: if the context has seen it, c / (n + t); else an
 and the next shorter context, without the symbols that the longer one has ruled out; at last all bytes not seen at all are
 alike. The score is the log10 probability of the text and its end.
 
-Tables that executors get are bounded: each order keeps the runs seen at least so often that ``MAX_RUNS`` stay (counting
-itself covers all training data), and the most frequent ``MAX_HEAD`` words' counts; rarer words are looked up by a join.
+All runs that are counted are used. A run's probability depends on the contexts that end like its own, so the trie is split
+by a hash of a context's last two bytes into parts of about ``PART_RUNS`` runs, and each part has all of orders 2 and up that
+its runs can fall to; orders 1 and 0 (65,536 runs at most) go to all. Texts are gathered in chunks of about ``CHUNK_TEXT``
+bytes; a chunk sends its distinct runs, gets their values by a join and adds them up, so no task holds the model.
+Of the word counts, executors get the most frequent ``MAX_HEAD``; rarer words are looked up by a join.
 
 Defined results: a null or empty text has n_tokens 1 (the end); without training texts N and V are 0 and every byte is as
 likely; rows that repeat are scored one by one; a null doc_id is not learned from and not held out; other columns, whatever
@@ -20,14 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.quality_model import remainder
 from strandline.llm.shared import cut
-from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, mix, signed
+from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, mix, signed, tidy
 
-ORDER, MAX_RUNS, MAX_HEAD, FOLDS = 4, 1_000_000, 500_000, 10
+ORDER, PART_RUNS, CHUNK_TEXT, MAX_HEAD, FOLDS = 4, 500_000, 8_000_000, 500_000, 10
 END = 0xFF
 #: The hash that stands for the end token; no word has it but by chance.
 END_HASH = U(0x0123456789ABCDEF)
@@ -57,18 +61,15 @@ def codes(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np
     return run[symbol], row[symbol]
 
 
-def _count(documents: DataFrame, what: str, order: int) -> DataFrame:
-    """Partial counts of words or runs, one row a key for each few million symbols of a task."""
+def _count(documents: DataFrame) -> DataFrame:
+    """Counts of words and ends, from partial counts for each few million symbols of a task."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
         out = lambda k, c: pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(c.astype(np.int64))], names=["key", "c"])
         for batch in batches:
             for lo, hi, data, off in chunks(batch.column(0)):
-                if what == "words":
-                    h = np.append(Words(data, off, BLANK_SEPARATED, lower=True).hashes(), np.full(hi - lo, END_HASH))
-                else:
-                    h, _ = codes(data, off, order)
+                h = np.append(Words(data, off, BLANK_SEPARATED, lower=True).hashes(), np.full(hi - lo, END_HASH))
                 k, c = np.unique(h, return_counts=True)
                 keys.append(k)
                 counts.append(c)
@@ -86,22 +87,59 @@ def _count(documents: DataFrame, what: str, order: int) -> DataFrame:
     return documents.select("text").mapInArrow(step, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def _bounded(table: DataFrame, most: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, int]:
-    """The keys (sorted) and counts of the rows seen at least so often that no more than ``most`` stay, and that threshold (``least`` or more). From a histogram over powers of 2^(1/8), so the driver sees a few hundred rows first."""
+def _runs(texts: DataFrame, order: int) -> DataFrame:
+    """chunk, key, c: the distinct runs of each chunk of texts (chunk, learn, text) and how often the rows to learn from have them. A chunk that is read in parts gives a row for each."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, held, now = [], [], 0, None
+
+        def out() -> pa.RecordBatch:
+            k, c = _summed(np.concatenate(keys), np.concatenate(counts))
+            k, c = _summed(k >> U(1), np.where(k & U(1), c, 0))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), now, np.int64)), pa.array(signed(k)), pa.array(c.astype(np.int64))], names=["chunk", "key", "c"])
+
+        for batch in batches:
+            chunk, learn = np.asarray(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(U)
+            at = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)] if len(chunk) else [0]
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                if keys and chunk[a] != now:
+                    yield out()
+                    keys, counts, held = [], [], 0
+                now = chunk[a]
+                for lo, hi, data, off in chunks(batch.column(2).slice(a, b - a)):
+                    run, row = codes(data, off, order)
+                    # the lowest bit tells rows to learn from
+                    k, c = np.unique(run << U(1) | learn[a + lo : a + hi][row], return_counts=True)
+                    keys.append(k)
+                    counts.append(c)
+                    held += len(k)
+                    if held > _MERGE:
+                        k, c = _summed(np.concatenate(keys), np.concatenate(counts))
+                        keys, counts, held = [k], [c], len(k)
+                        if held > _MERGE // 2:
+                            yield out()
+                            keys, counts, held = [], [], 0
+        if keys:
+            yield out()
+
+    return texts.select("chunk", "learn", "text").mapInArrow(tidy(step), "chunk bigint, key bigint, c bigint")
+
+
+def _head(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (sorted) and counts of the rows seen at least so often that no more than ``most`` stay. From a histogram over powers of 2^(1/8), so the driver sees a few hundred rows first."""
     step = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
-    rows = {r["b"]: r["n"] for r in table.where(F.col("c") >= least).groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = {r["b"]: r["n"] for r in table.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
     total, cutoff = 0, None
     for b in sorted(rows, reverse=True):
         if total + rows[b] > most:
             break
         total, cutoff = total + rows[b], b
     if cutoff is None:
-        return np.empty(0, U), np.empty(0, np.int64), least
-    got = table.where((F.col("c") >= least) & (step >= cutoff)).toArrow()
+        return np.empty(0, U), np.empty(0, np.int64)
+    got = table.where(step >= cutoff).toArrow()
     k, c = np.asarray(got.column("key")).view(U), np.asarray(got.column("c"))
     order = np.argsort(k)
-    whole = cutoff == min(rows)
-    return k[order], c[order], least if whole else max(least, int(np.ceil(2 ** (cutoff / 8) - 1e-9)))
+    return k[order], c[order]
 
 
 class Trie:
@@ -124,25 +162,9 @@ class Trie:
                 self.ruled.append(np.add.reduceat(np.where(hit, self.counts[k - 1][at], 0), first))
             else:
                 self.ruled.append(np.empty(0))
-        top, c = self.runs[-1], self.counts[-1]
-        at, _ = _find(self.nodes[-1], top >> U(8))
-        value = np.log10(c / (self.n[-1][at] + self.t[-1][at])) if len(top) else np.empty(0)
-        # an open table for the common case; what finds its place taken is left to the sorted runs
-        self.bits = max(10, int(2 * max(1, len(top)) - 1).bit_length())
-        self.slot_run, self.slot_value = np.full(1 << self.bits, U(2**64 - 1)), np.zeros(1 << self.bits, np.float32)
-        place = mix(top) >> U(64 - self.bits)
-        self.slot_run[place], self.slot_value[place] = top, value
 
     def score(self, run: np.ndarray) -> np.ndarray:
         """The log10 probability of each symbol given its context."""
-        place = mix(run) >> U(64 - self.bits)
-        out = self.slot_value[place].astype(float)
-        left = np.flatnonzero(self.slot_run[place] != run)
-        if len(left):
-            out[left] = self._fall(run[left])
-        return out
-
-    def _fall(self, run: np.ndarray) -> np.ndarray:
         n = len(run)
         out, live = np.zeros(n), np.arange(n)
         above_t, above_ruled = np.zeros(n), np.zeros(n)  # of the known context one symbol longer
@@ -175,37 +197,84 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def fit(documents: DataFrame, order: int = ORDER, most: int = MAX_RUNS) -> Trie:
-    """The trie of all texts of documents."""
-    table = cut(_count(documents, "runs", order), "runs")
-    found, least = [], 1
-    for k in range(order + 1):
-        own = table if k == order else table.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("c").alias("c"))
-        keys, counts, least = _bounded(own, most, least)
-        found.append((keys, counts))
-    return Trie(found)
+class Values:
+    """A value for each of some runs."""
+
+    def __init__(self, runs: np.ndarray, values: np.ndarray):
+        self.runs, first = np.unique(runs, return_index=True)
+        self.values = values[first]
+        # an open table for the common case; what finds its place taken is left to the sorted runs
+        self.bits = max(10, int(2 * max(1, len(self.runs)) - 1).bit_length())
+        self.slot_run, self.slot_value = np.full(1 << self.bits, U(2**64 - 1)), np.zeros(1 << self.bits)
+        place = mix(self.runs) >> U(64 - self.bits)
+        self.slot_run[place], self.slot_value[place] = self.runs, self.values
+
+    def of(self, run: np.ndarray) -> np.ndarray:
+        place = mix(run) >> U(64 - self.bits)
+        out = self.slot_value[place]
+        left = np.flatnonzero(self.slot_run[place] != run)
+        if len(left):
+            at, hit = _find(self.runs, run[left])
+            if not hit.all():
+                raise ValueError("a run without a value")
+            out[left] = self.values[at]
+        return out
+
+
+def _shorter(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of k context bytes that longer runs end with."""
+    return _summed(keys & U((1 << 8 * (k + 1)) - 1), counts)
+
+
+def fit(documents: DataFrame, order: int = ORDER) -> Trie:
+    """The whole trie of all texts of documents, on the driver: for small tables."""
+    got = _runs(documents.select(F.lit(0).cast("bigint").alias("chunk"), F.lit(True).alias("learn"), "text"), order).toArrow()
+    keys, counts = _summed(np.asarray(got.column("key")).view(U), np.asarray(got.column("c")))
+    return Trie([_shorter(keys, counts, k) for k in range(order + 1)])
+
+
+def run_values(totals: DataFrame, order: int = ORDER, part_runs: int = PART_RUNS) -> DataFrame:
+    """key, value: the log10 probability of each run of totals (key, c) under the trie of all its counts; c is 0 where only held-out texts have the run."""
+    low = totals.where("c > 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("c").alias("c")).toArrow()
+    pairs = _summed(np.asarray(low.column("key")).view(U), np.asarray(low.column("c")))
+    singles = _shorter(*pairs, 0)
+    parts = max(1, -(-totals.count() // part_runs))
+    part = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(parts))
+
+    def step(table: pa.Table) -> pa.Table:
+        keys, counts = _summed(np.asarray(table.column("key")).view(U), np.asarray(table.column("c")))
+        k, c = keys[counts > 0], counts[counts > 0]
+        trie = Trie([singles, pairs, *[_shorter(k, c, j) for j in range(2, order + 1)]])
+        return pa.table({"key": signed(keys), "value": trie.score(keys)})
+
+    return totals.select(part.alias("part"), "key", "c").groupBy("part").applyInArrow(step, "key bigint, value double")
 
 
 def scored(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of documents."""
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"))
-    training = docs.where(remainder(F.col("doc_id"), FOLDS) != 0)
-    vocabulary = cut(_count(training, "words", 0), "vocabulary")
+    learn = F.coalesce(remainder(F.col("doc_id"), FOLDS) != 0, F.lit(False))
+    docs = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), learn.alias("learn"))
+    vocabulary = cut(_count(docs.where("learn")), "vocabulary")
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, total = sums["n"], sums["n"] + 0.1 * (sums["v"] + 1)
-    head, head_counts, _ = _bounded(vocabulary, MAX_HEAD)
-    shared = spark.sparkContext.broadcast((fit(training), head, np.log10((head_counts + 0.1) / total)))
+    head, head_counts = _head(vocabulary, MAX_HEAD)
+    shared = spark.sparkContext.broadcast((head, np.log10((head_counts + 0.1) / total)))
     kind = dict(docs.dtypes)["doc_id"]
     rest_is_unseen = len(head) == sums["v"]
     unseen = float(np.log10(0.1 / total))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, head, value = shared.value
+        head, value = shared.value
+        chunk, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            n, known, base, score, rest, sizes = [], [], [], [], [], []
+            n, known, base, rest, sizes, own = [], [], [], [], [], []
             for lo, hi, data, off in chunks(batch.column(1)):
                 rows = hi - lo
+                if held and held + len(data) > CHUNK_TEXT:
+                    chunk, held = chunk + 1, 0
+                held += len(data)
+                own.append(np.full(rows, chunk))
                 words = Words(data, off, BLANK_SEPARATED, lower=True)
                 h, doc = np.append(words.hashes(), np.full(rows, END_HASH)), np.append(words.doc, np.arange(rows))
                 one, place = np.unique(h, return_inverse=True)
@@ -218,13 +287,25 @@ def scored(documents: DataFrame) -> DataFrame:
                 order = np.argsort(doc[tail], kind="stable")
                 rest.append(h[tail][order])
                 sizes.append(np.bincount(doc[tail], minlength=rows))
-                run, row = codes(data, off, trie.order)
-                score.append(np.bincount(row, weights=trie.score(run), minlength=rows))
             together = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(together(sizes, np.int64))]), pa.int32()), pa.array(signed(together(rest, U))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(together(n, np.int64)), pa.array(together(known, np.int64)), pa.array(together(base, float)), pa.array(together(score, float)), lists], names=["doc_id", "tk", "n_tokens", "known", "base", "score", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(together(own, np.int64)), pa.array(together(n, np.int64)), pa.array(together(known, np.int64)), pa.array(together(base, float)), lists], names=["doc_id", "text", "tk", "learn", "chunk", "n_tokens", "known", "base", "rest"])
+
+    texts = cut(docs.mapInArrow(tidy(step), f"doc_id {kind}, text string, tk bigint, learn boolean, chunk bigint, n_tokens bigint, known bigint, base double, rest array<bigint>"), "texts")
+    runs = cut(_runs(texts, ORDER), "runs")
+    values = run_values(cut(runs.groupBy("key").agg(F.sum("c").alias("c")), "totals"))
+    answers = runs.select("chunk", "key").join(values, "key").select("chunk", "key", "value")
+
+    def add_up(table: pa.Table, answer: pa.Table) -> pa.Table:
+        found = Values(np.asarray(answer.column("key")).view(U), np.asarray(answer.column("value")))
+        score = [np.empty(0)]
+        for lo, hi, data, off in chunks(table.column("text")):
+            run, row = codes(data, off, ORDER)
+            score.append(np.bincount(row, weights=found.of(run), minlength=hi - lo))
+        return table.select(["doc_id", "tk", "n_tokens", "known", "base"]).append_column("score", pa.array(np.concatenate(score))).append_column("rest", table.column("rest"))
 
-    done = cut(docs.mapInArrow(step, f"doc_id {kind}, tk bigint, n_tokens bigint, known bigint, base double, score double, rest array<bigint>"), "scored")
+    done = texts.drop("learn").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add_up, f"doc_id {kind}, tk bigint, n_tokens bigint, known bigint, base double, score double, rest array<bigint>")
+    done = cut(done, "scored")
     # words outside the head: counted by a join, then summed with the rows they came from (rows that repeat come together)
     if rest_is_unseen:
         every = done.select("*", F.lit(0).cast("bigint").alias("more"), (F.size("rest") * F.lit(unseen)).alias("more_base"))

@@ -298,3 +298,37 @@ def test_pipeline_stages_keep_columns(spark, sample):
 
 def test_spans_are_json_free(spark, docs):
     assert json.dumps(secrets.scan(docs).where("doc_id = 3").first().spans) == '""'
+
+
+def test_language_model_uses_all_runs(spark):
+    """More than a million distinct runs of five bytes, each seen once: none is left out."""
+    rng = np.random.default_rng(3)
+    alphabet = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+    texts = [rng.choice(alphabet, 20_000).tobytes().decode() for _ in range(70)]
+    texts[1] = texts[0][:500] + " " + texts[2][:500]
+    seen = [collections.defaultdict(collections.Counter) for _ in range(5)]
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 10:
+            run = b"\xff" * 4 + t.encode() + b"\xff"
+            for j in range(4, len(run)):
+                for k in range(5):
+                    seen[k][run[j - k : j]][run[j]] += 1
+    assert sum(len(x) for x in seen[4].values()) > 1_000_000
+
+    def log10(context, symbol):
+        out, gone = 0.0, set()
+        for k in range(4, -1, -1):
+            own = seen[k].get(context[4 - k :])
+            if own:
+                left = {s: c for s, c in own.items() if s not in gone}
+                total = sum(left.values()) + len(left)
+                if symbol in left:
+                    return out + math.log10(left[symbol] / total)
+                out, gone = out + (math.log10(len(left) / total) if left else 0.0), set(own)
+        return out - math.log10(max(1, 256 - len(gone)))
+
+    got = {r.doc_id: r.score for r in language_model.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    held_out = [i for i in range(70) if zlib.crc32(str(i).encode()) % 10 == 0]
+    for i in [0, 1, 2, *held_out[:2]]:
+        run = b"\xff" * 4 + texts[i].encode() + b"\xff"
+        assert math.isclose(got[i], sum(log10(run[j - 4 : j], run[j]) for j in range(4, len(run))), rel_tol=1e-9)
