@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from strandline import catalogue
 from strandline.operators import backtest, events, features, options
 from strandline.sources import bars, market_data
 
@@ -76,3 +77,10 @@ def test_window_scan_is_pushed_and_bounded(spark):
 def test_quote_rules(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (None, 1.0), (1.0, 1.1)], "b double, a double")
     assert [r[0] for r in df.select(options.quote_reason(F.col("b"), F.col("a"))).collect()] == ["wide", "crossed", "missing", None]
+
+
+def test_every_part_gives_a_span(spark):
+    rows = spark.read.parquet(f"{DATA}/part.parquet").select("p_partkey", "p_brand", "p_retailprice").collect()
+    want = sorted((p.p_partkey, s.p_partkey) for p in rows for s in rows if p.p_brand == s.p_brand and s.p_retailprice - 5 <= p.p_retailprice < s.p_retailprice + 5)
+    got = sorted(map(tuple, catalogue.QUERIES["interval_join_all_parts"](spark, DATA).collect()))
+    assert got == want and {k for _, k in got} == {r.p_partkey for r in rows}
