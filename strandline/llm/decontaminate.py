@@ -4,8 +4,8 @@ Training words are streamed through the automaton; the longest match that ends a
 (``window`` consecutive item words, or a whole item of fewer) ends there, and the suffix-link ancestor that spans that
 window tells which items hold it.
 
-Defined results: a null or wordless text has no words, no hits and no items; null or wordless items match nothing;
-repeated rows are judged one by one; an item_id that several rows share counts once; an empty benchmark hits nothing;
+Defined results: a null or wordless text has no words, no hits and no items; items of null or wordless text match nothing;
+an item with a null item_id is hit like the others, but is left out of the items (n_items, items_sha256); repeated rows are judged one by one; an item_id that several rows share counts once; an empty benchmark hits nothing;
 other columns, whatever their names, are not read.
 
 Scale: documents are scanned once, without a shuffle. The automata are broadcast in blocks of at most ``block_words``
@@ -34,7 +34,7 @@ SPANS = "array<struct<start:int,end:int>>"
 class Automaton:
     """A generalised suffix automaton of word-id sequences, with the items below each window-length state."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         self.window = window
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -169,10 +169,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, str]]]:
+def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, str]]]:
     """The items in blocks of bounded size, one block on the driver at a time."""
     block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null").toLocalIterator()
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t is not null").toLocalIterator()
     for r in rows:
         n = len(r.t.split()) + 1
         if block and size + n > block_words:
@@ -200,7 +200,7 @@ def hit_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     counts += words.counts.tolist()
                     for found in auto.scan(words):
                         spans.append(merged(found[0]) if found else [])
-                        items.append(sorted({auto.item_ids[i] for i in found[1]}) if found else [])
+                        items.append(sorted({auto.item_ids[i] for i in found[1]} - {None}) if found else [])
                 if any(batch.column(3).value_lengths().to_pylist()):
                     for i, (old, ids) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                         spans[i] = merged(spans[i] + [(x["start"], x["end"]) for x in old])

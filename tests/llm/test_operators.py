@@ -332,3 +332,13 @@ def test_language_model_uses_all_runs(spark):
     for i in [0, 1, 2, *held_out[:2]]:
         run = b"\xff" * 4 + texts[i].encode() + b"\xff"
         assert math.isclose(got[i], sum(log10(run[j - 4 : j], run[j]) for j in range(4, len(run))), rel_tol=1e-9)
+
+
+def test_benchmark_items_without_id_are_hit(spark):
+    own, other = (" ".join(f"{w}{i}" for i in range(12)) for w in "ab")
+    df = spark.createDataFrame([(1, f"x {own} y"), (2, f"{own} and {other}"), (3, "x y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, own), ("b", other), (None, None)], "item_id string, text string")
+    digest = lambda items: hashlib.sha256(items.encode()).hexdigest()
+    want = [(1, 14, 12, 0, digest(""), True), (2, 25, 24, 1, digest("b"), True), (3, 2, 0, 0, digest(""), False)]
+    assert as_bag(decontaminate.contamination(df, bench).collect()) == as_bag(want)
+    assert [r.doc_id for r in decontaminate.without_spans(df, bench).collect()] == [3]
