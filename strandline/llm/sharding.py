@@ -44,17 +44,24 @@ def communication_matrix(blocks: Sequence[int], shards: int, seed: int = 1) -> n
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """A hypergeometric draw; in parts where the generator's range (10^9) is too small."""
+    """A hypergeometric draw, also beyond the generator's range (10^9): each row is taken with chance n / total, which is two
+    binomial draws; given how many were taken they are any of that many, so the few missing are drawn from the rest, or the
+    few too many from those taken, by the same law."""
     if n <= 0 or good <= 0:
         return 0
     if bad <= 0:
         return n
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n))
-    # beyond it: a normal draw of the same mean and variance, rounded and held to the law's range
     total = good + bad
-    mean, var = n * good / total, n * good / total * bad / total * (total - n) / (total - 1)
-    return int(min(max(round(rng.normal(mean, var**0.5)), max(0, n - bad)), good, n))
+    if total < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, n))
+    if n < 100:
+        own = 0
+        for i in range(n):
+            own += int(rng.integers(total - i) < good - own)
+        return own
+    x, y = int(rng.binomial(good, n / total)), int(rng.binomial(bad, n / total))
+    more = n - x - y
+    return x + _draw(rng, good - x, bad - y, more) if more >= 0 else x - _draw(rng, x, y, -more)
 
 
 def sharded(documents: DataFrame, shards: int = SHARDS, seed: int = 1) -> DataFrame:

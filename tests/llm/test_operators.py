@@ -342,3 +342,14 @@ def test_benchmark_items_without_id_are_hit(spark):
     want = [(1, 14, 12, 0, digest(""), True), (2, 25, 24, 1, digest("b"), True), (3, 2, 0, 0, digest(""), False)]
     assert as_bag(decontaminate.contamination(df, bench).collect()) == as_bag(want)
     assert [r.doc_id for r in decontaminate.without_spans(df, bench).collect()] == [3]
+
+
+@pytest.mark.parametrize(("good", "bad", "n"), [(2_000_000, 1_998_000_000, 1000), (200_000_000, 1_800_000_000, 10), (5, 2_999_999_995, 1_500_000_000)])
+def test_draws_beyond_the_generator_keep_the_law(good, bad, n):
+    rng, total, draws = np.random.default_rng(5), good + bad, 20_000
+    got = np.bincount([sharding._draw(rng, good, bad, n) for _ in range(draws)], minlength=4)
+    for k in range(4):
+        # so few of so many that the law is the binomial one to within 10^-5
+        m, p = min(good, n), max(good, n) / total
+        want = math.comb(m, k) * p**k * (1 - p) ** (m - k)
+        assert abs(got[k] / draws - want) < 5 * math.sqrt(want / draws) + 1e-5, k
