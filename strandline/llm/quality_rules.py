@@ -1,15 +1,22 @@
 """Quality rules with risk-controlled thresholds.
 
-Every text gets rule scores (higher: worse). For each rule and stratum, the labelled good documents of the calibration
-holdout give, for each cutoff of a fixed grid, the number that the cutoff would reject; the exact (Clopper-Pearson) upper
-bound of that rate, at a level split over all tests (Bonferroni), must stay under ``max_false_rejection``. The lowest such
-cutoff is used; with none, the rule is off in that stratum.
-
-Defined results: a null text has no words and fails the base; a stratum is a lang value (null: its own stratum); repeated
-rows are judged one by one; without labels every rule is off; other columns, whatever their names, are not read.
-
-Scale: one scan for the counts of good documents by (stratum, rule, grid step), pre-aggregated, and one for the verdicts.
-What goes to the driver is bounded by ``MAX_STRATA`` x rules x grid; rows of further, rarer strata use the pooled cutoffs.
+Every text gets rule scores (higher: worse) and, for each rule, a level: how many cutoffs of a fixed grid its score is
+above. A stratum's verdict rejects a document if any rule's level is above the stratum's cutoff for that rule. What is
+bounded is the verdict, not one rule: among the labelled good documents of the stratum (the calibration holdout), the exact
+(Clopper-Pearson) upper bound of the share that the rules together reject must stay under ``max_false_rejection``, with
+``confidence`` for all strata at once (Bonferroni). Half of a stratum's error goes to a fixed sequence, in which all rules
+go from their laxest cutoff to stricter ones in step until a test fails (no further correction is needed, as the sequence
+stops). The other half is split over every combination of cutoffs there is, so that from there any search is covered: rule
+by rule, the strictest cutoff that passes beside those of the others. Where nothing passes the rules are off.
+
+Defined results: a null text has no words and fails the base; a stratum is a lang value (null and the empty string are
+strata of their own), and one without enough labelled good documents has its rules off, like every stratum without labels;
+a score equal to a cutoff passes; labels of rows that repeat count with each row; repeated rows are judged one by one; very
+long texts are counted whole, in vectors of their own length; other columns, whatever their names, are not read.
+
+Scale: labelled good documents are counted and summed by (stratum, levels) before anything is grouped by stratum: at most
+10 to the number of rules rows a stratum, a few hundred as a rule. Each stratum is calibrated in its own group, and the
+cutoffs are a table of one row a stratum, joined to the rows; nothing goes to the driver but the number of strata.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.shared import cut, fits, small
 from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, fold, mix, tidy, window_hashes
 
 #: Rules and their grids of cutoffs: a document is rejected if its score is above the cutoff.
@@ -32,7 +40,8 @@ RULES = {
     "capitals": [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9],
     "marks_per_word": [0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0, 2.5, 3.0],
 }
-MAX_FALSE_REJECTION, CONFIDENCE, MAX_STRATA = 0.01, 0.95, 64
+MAX_FALSE_REJECTION, CONFIDENCE = 0.01, 0.95
+STEPS = 9
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters", "n_marks"]
 #: The symbols that the base counts, and sentence marks.
 _SYMBOL, _MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -121,6 +130,11 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def levels() -> list[F.Column]:
+    """For each rule, how many cutoffs its score is above."""
+    return [sum(((s > c).cast("int") for c in RULES[r]), F.lit(0)).alias(f"level_{r}") for r, s in scores().items()]
+
+
 def upper_bound(rejected: int, n: int, level: float) -> float:
     """The exact binomial upper confidence bound of a rate, by bisection on the binomial tail."""
     if n == 0 or rejected >= n:
@@ -134,37 +148,65 @@ def upper_bound(rejected: int, n: int, level: float) -> float:
     return hi
 
 
-def calibrate(documents: DataFrame, labels: DataFrame, stratum: str = "lang", max_false_rejection: float = MAX_FALSE_REJECTION, confidence: float = CONFIDENCE) -> dict[str | None, dict[str, float]]:
-    """The cutoffs of each stratum; key "" holds the pooled ones for strata beyond MAX_STRATA."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__good")).distinct()
-    rows = counted(documents, ["doc_id", stratum]).where(~base_failed()).join(good, F.col("doc_id") == F.col("__good"), "left_semi")
-    above = [F.sum((s > c).cast("long")).alias(f"{r}@{i}") for r, s in scores().items() for i, c in enumerate(RULES[r])]
-    found = rows.groupBy(F.col(stratum).alias("s")).agg(F.count(F.lit(1)).alias("n"), *above).orderBy(F.desc("n"), "s").limit(MAX_STRATA).collect()
-    pool = {"n": sum(r["n"] for r in found)} | {k: sum(r[k] for r in found) for k in ([f"{r}@{i}" for r in RULES for i in range(len(RULES[r]))] if found else [])}
-    tests = (len(found) + 1) * sum(map(len, RULES.values()))
-    out: dict = {}
-    for name, r in [*((x["s"], x) for x in found), ("", pool)]:
-        out[name] = {}
-        for rule, grid in RULES.items():
-            for i, c in enumerate(grid):
-                if found and upper_bound(r[f"{rule}@{i}"], r["n"], (1 - confidence) / tests) <= max_false_rejection:
-                    out[name][rule] = c
+def allowed(n: int, level: float, rate: float) -> int:
+    """The largest number of rejections among n whose upper bound is at most the rate; -1 if there is none."""
+    lo, hi = -1, n
+    while lo < hi:
+        middle = (lo + hi + 1) // 2
+        if upper_bound(middle, n, level) <= rate:
+            lo = middle
+        else:
+            hi = middle - 1
+    return lo
+
+
+def chosen(seen: np.ndarray, n: np.ndarray, level: float, rate: float) -> np.ndarray:
+    """The cutoffs (places in the grids; STEPS: off) of a stratum whose good documents have the levels seen, n of each."""
+    rules, total = seen.shape[1], int(n.sum())
+    rejected = lambda cutoffs: int(n[(seen > cutoffs).any(axis=1)].sum())
+    out = np.full(rules, STEPS)
+    limit = allowed(total, level / 2, rate)
+    while out[0] and rejected(out - 1) <= limit:
+        out = out - 1
+    limit = allowed(total, level / 2 / (STEPS + 1) ** rules, rate)
+    if limit >= 0:
+        for rule in range(rules):
+            for step in range(out[rule]):
+                trial = out.copy()
+                trial[rule] = step
+                if rejected(trial) <= limit:
+                    out = trial
                     break
     return out
 
 
+def calibrate(documents: DataFrame, labels: DataFrame, stratum: str = "lang", max_false_rejection: float = MAX_FALSE_REJECTION, confidence: float = CONFIDENCE) -> DataFrame:
+    """stratum and cutoffs (array of places in the rules' grids, STEPS for a rule that is off) for each stratum with labelled good documents."""
+    good = cut(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__good")).distinct(), "good")
+    wanted, rows = documents.select("doc_id", "text", F.col(stratum).cast("string").alias("stratum")), None
+    if fits(good):
+        rows = counted(wanted.join(F.broadcast(good), F.col("doc_id") == F.col("__good"), "left_semi"), ["stratum"])
+    else:
+        # too many labels to send: count all texts where they are and shuffle the counts, not the texts
+        rows = counted(wanted, ["doc_id", "stratum"]).join(good, F.col("doc_id") == F.col("__good"), "left_semi").drop("doc_id")
+    names = [f"level_{r}" for r in RULES]
+    seen = cut(rows.where(~base_failed()).select("stratum", *levels()).groupBy("stratum", *names).agg(F.count(F.lit(1)).alias("n")), "levels")
+    error = (1 - confidence) / max(1, seen.select("stratum").distinct().count())
+
+    def step(key: tuple, table: pa.Table) -> pa.Table:
+        found = chosen(np.stack([np.asarray(table.column(c)) for c in names], 1), np.asarray(table.column("n")), error, max_false_rejection)
+        return pa.table({"stratum": pa.array([key[0].as_py()], pa.string()), "cutoffs": pa.array([found.tolist()], pa.list_(pa.int32()))})
+
+    return cut(seen.groupBy("stratum").applyInArrow(step, "stratum string, cutoffs array<int>"), "cutoffs")
+
+
 def judged(documents: DataFrame, labels: DataFrame, extra: list[str], stratum: str = "lang") -> DataFrame:
     """The extra columns, COUNTS, base_failed and kept for each row of documents."""
-    cutoffs = calibrate(documents, labels, stratum)
-    rejected = F.lit(False)
-    for rule, score in scores().items():
-        cutoff = F.lit(cutoffs[""].get(rule, float("inf")))
-        for name, own in cutoffs.items():
-            if name != "":
-                cutoff = F.when(F.col("__stratum").eqNullSafe(F.lit(name)), F.lit(own.get(rule, float("inf")))).otherwise(cutoff)
-        rejected = rejected | (score > cutoff)
-    rows = counted(documents.withColumn("__stratum", F.col(stratum)), [*extra, "__stratum"])
-    return rows.select(*extra, *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))
+    cutoffs = small(calibrate(documents, labels, stratum).select(F.col("stratum").alias("__of"), F.col("cutoffs").alias("__cutoffs")))
+    rows = counted(documents.withColumn("__stratum", F.col(stratum).cast("string")), [*extra, "__stratum"])
+    rows = rows.join(cutoffs, F.col("__stratum").eqNullSafe(F.col("__of")), "left")
+    rejected = F.exists(F.zip_with(F.array(*levels()), "__cutoffs", lambda a, b: a > b), lambda x: x)
+    return rows.select(*extra, *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce(rejected, F.lit(False))).alias("kept"))
 
 
 def verdicts(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -62,12 +62,12 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
-def _with_spans_of(df: DataFrame, text: str, pattern: str, kind: int, into: str, value: bool = False, masked: str = "", found: str = "") -> DataFrame:
+def _with_spans_of(df: DataFrame, text: str, pattern: str, kind: int, into: str, value: bool = False, masked: str = "", found: str = "", only: Column | None = None) -> DataFrame:
     """Adds all matches as spans: the text is split at them, and the lengths of pieces and matches are summed up to each (in
     blocks, so that many matches don't cost their square). ``masked`` names the column in which the matches are blanked
-    too, ``found`` one for the matches themselves. Stage by stage, so that no expression is computed twice."""
+    too, ``found`` one for the matches themselves; ``only`` says in which rows to look at all. Stage by stage, so that no expression is computed twice."""
     none, words = F.array().cast("array<bigint>"), F.array().cast("array<string>")
-    there = F.col(text).rlike(pattern)
+    there = F.col(text).rlike(pattern) if only is None else only & F.col(text).rlike(pattern)
     lengths = lambda a: F.transform(a, lambda x: F.length(x).cast("bigint"))
     df = df.withColumns({
         "__x": F.when(there, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(words),
@@ -176,7 +176,7 @@ def _spans(documents: DataFrame, kept: Column) -> DataFrame:
         df = _with_spans_of(df, "__text", pattern, kind, f"__s{kind}", value=kind == 0)
     df = df.withColumn("__base", F.array_sort(F.concat("__s0", "__s1", "__s2"))).drop("__s0", "__s1", "__s2")
     for kind, pattern in enumerate((ASSIGN, ACCESS, HEX)):
-        df = _with_spans_of(df, "__rest", pattern, kind, "__s", value=kind == 0, masked="__blanked").withColumn("__rest", F.col("__blanked")).drop("__s", "__blanked")
+        df = _with_spans_of(df, "__rest", pattern, kind, "__s", value=kind == 0, masked="__blanked", only=F.size("__base") > 0).withColumn("__rest", F.col("__blanked")).drop("__s", "__blanked")
     df = _with_random(df, "__rest", "__r")
     # a generator of one row: later filters on the spans stop here, or they would copy the whole expression into themselves
     made = F.struct(F.col("__base").alias("__base"), F.array_sort(F.concat("__base", "__r")).alias("__all"))

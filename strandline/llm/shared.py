@@ -1,4 +1,4 @@
-"""Lineage cuts in the shared folder, and size-checked broadcasts."""
+"""Lineage cuts in the shared folder, size-checked broadcasts, and joins with groups that may be very large."""
 
 from __future__ import annotations
 
@@ -7,15 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows that a broadcast key list may have; beyond it the join is left to a shuffle.
-BROADCAST_ROWS = 4_000_000
+#: Bytes that a broadcast table may have (as rows in memory, beside their hash table); beyond it the join is left to a shuffle.
+BROADCAST_BYTES = 64 << 20
+#: A key is hot if it has more rows than this share of the table, and never below HOT_ROWS; so at most HOT_KEYS keys are hot.
+HOT_KEYS, HOT_ROWS = 512, 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names. Only a session whose executors are this machine may do without: it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,6 +33,25 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a list of keys for broadcast if a count shows that it has at most so many rows."""
-    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
+def fits(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a table, one that ``cut`` has written or that is as cheap to read, is small enough to send to every executor."""
+    wide = [F.octet_length(f.name) if isinstance(f.dataType, T.StringType) else 8 * F.size(f.name) for f in table.schema if isinstance(f.dataType, T.StringType | T.ArrayType)]
+    rows, more = table.select(F.count(F.lit(1)), F.coalesce(F.sum(sum(map(lambda c: F.coalesce(c, F.lit(0)), wide), F.lit(0))), F.lit(0))).first()
+    return rows * (16 + 8 * len(table.columns)) + more <= limit
+
+
+def small(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a table for broadcast if its measured size allows it."""
+    return F.broadcast(table) if fits(table, limit) else table
+
+
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "m", how: str = "inner") -> DataFrame:
+    """rows joined with groups (one row a key; ``size``: how many rows the key has), both written by ``cut``. The rows of hot
+    keys, few keys by the bound above, meet their groups by broadcast, so that no task gets a whole hot group; the rest is shuffled."""
+    limit = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot = groups.where(F.col(size) > limit)
+    if not hot.limit(1).count():
+        return rows.join(groups.drop(size), keys, how)
+    hot = F.broadcast(hot.drop(size))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col(size) <= limit).drop(size), keys, how)
+    return rows.join(hot, keys).unionByName(cold)
