@@ -1,12 +1,14 @@
 """Quality classifier: supervised subword embeddings.
 
 Each word has a learned vector for its own hash and one for each of its character n-grams (3 to 5 bytes, with marks at the
-word's ends), all in hashed tables; word bigrams of a word and itself share one; a word is their mean, a document the mean of its words, and a softmax over two classes
+word's ends), all in hashed tables; a word is their mean. Word bigrams have hashed vectors too, in which a word that repeats
+the one before it is written as a mark. A document is the mean of its words plus the mean of its bigrams, and a softmax over two classes
 follows. Vectors and output weights are trained together by stochastic gradient descent in numpy. As the document vector is
 a mean and the output is linear, the trained model folds into one number for each hashed feature, which is what executors
 get (``BUCKETS`` floats, a fixed size).
 
-Defined results: a null, empty or wordless text scores the bias alone; labels count once per doc_id (the least quality
+Defined results: a null, empty or wordless text scores the bias alone; very long texts are read whole; equal texts have
+equal scores, and a score of exactly ``MIN_SCORE`` is predicted 1; labels count once per doc_id (the least quality
 wins where they differ) and null labels not at all; repeated rows are scored one by one; without labelled rows of both
 classes the score is the share of label 1 (0.5 without any); labels, lang, source and doc_id are never inputs.
 
@@ -28,7 +30,8 @@ from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, mix, powers
 BUCKETS, DIMENSIONS, GRAMS, SAMPLE_ROWS, FOLDS = 1 << 17, 8, (3, 4, 5), 3_000, 5
 EPOCHS, RATE, BATCH, BOOST = 6, 0.3, 32, 20.0
 MIN_SCORE = 0.3
-REPEAT = 1
+#: The hashes of two marks: the start of a text, and a word once more.
+START, AGAIN = U(0x51), U(0xA6)
 _A = U(0xD6E8FEB86659FD93)
 
 
@@ -57,24 +60,27 @@ def word_features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return place, features[order].astype(np.int64), np.cumsum(counts) - counts, counts
 
 
-def repeats(words: Words, h: np.ndarray) -> np.ndarray:
-    """Where a word bigram is a word and itself: its second word stands for the hashed feature REPEAT, whatever the word."""
-    out = np.zeros(len(h), bool)
-    out[1:] = (h[1:] == h[:-1]) & (words.doc[1:] == words.doc[:-1])
-    return out
+def bigrams(words: Words, h: np.ndarray) -> np.ndarray:
+    """The hashed feature of the bigram that ends at each word; the first word of a text follows a mark, and a word that repeats the one before it is another mark, whatever the word."""
+    before = np.full(len(h), START)
+    same_text = words.doc[1:] == words.doc[:-1]
+    before[1:][same_text] = h[:-1][same_text]
+    pair = mix(mix(before) * _A + h + U(2))
+    pair[before == h] = mix(np.array([AGAIN]))[0]
+    return (pair & U(BUCKETS - 1)).astype(np.int64)
 
 
 def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The features of a document and their weights (sum 1)."""
+    """The features of a document and their weights: those of its words sum to one, and so do those of its bigrams."""
     data = np.frombuffer(text.encode(), np.uint8)
     words = Words(data, np.array([0, len(data)]), BLANK_SEPARATED)
     if not len(words.start):
         return np.empty(0, np.int64), np.empty(0)
     place, features, _, counts = word_features(words)
     share = np.bincount(place, minlength=len(counts)) / len(place) / counts
-    again = repeats(words, words.hashes()).mean()
-    found, inverse = np.unique(np.append(features, REPEAT), return_inverse=True)
-    return found, np.bincount(inverse, weights=np.append(np.repeat(share, counts), again))
+    pairs = bigrams(words, words.hashes())
+    found, inverse = np.unique(np.concatenate([features, pairs]), return_inverse=True)
+    return found, np.bincount(inverse, weights=np.concatenate([np.repeat(share, counts), np.full(len(pairs), 1 / len(pairs))]))
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -141,7 +147,7 @@ def scored(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 if len(words.start):
                     place, features, starts, counts = word_features(words)
                     value = np.add.reduceat(folded[features].astype(float), starts) / counts
-                    logit += np.bincount(words.doc, weights=value[place] + folded[REPEAT] * repeats(words, words.hashes()), minlength=hi - lo) / np.maximum(words.counts, 1)
+                    logit += np.bincount(words.doc, weights=value[place] + folded[bigrams(words, words.hashes())], minlength=hi - lo) / np.maximum(words.counts, 1)
                 out.append(1 / (1 + np.exp(-logit)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.empty(0))], names=["doc_id", "score"])
 
