@@ -5,17 +5,24 @@ Training words are streamed through the automaton; the longest match that ends a
 window tells which items hold it.
 
 Defined results: a null or wordless text has no words, no hits and no items; items of null or wordless text match nothing;
-an item with a null item_id is hit like the others, but is left out of the items (n_items, items_sha256); repeated rows are judged one by one; an item_id that several rows share counts once; an empty benchmark hits nothing;
-other columns, whatever their names, are not read.
-
-Scale: documents are scanned once, without a shuffle. The automata are broadcast in blocks of at most ``block_words``
-item words (about 100 bytes a word), one Arrow stage per block, so no broadcast grows with the benchmark.
+an item with a null item_id is hit like the others, but is left out of the items (n_items, items_sha256); repeated rows are
+judged one by one; an item_id that several rows share counts once, and a window that several items hold counts for each;
+an empty benchmark hits nothing; very long texts are streamed whole, in memory of their own size; other columns, whatever
+their names, are not read.
+
+Scale: a benchmark of up to ``block_words`` item words is one automaton, sent to all executors, and documents are scanned
+once, without a shuffle. It stands in flat arrays, measured at 46 bytes a word on an executor and 417 a
+word while the driver builds it (a million words with a Zipf law). A larger
+benchmark is cut into blocks of that size: one is built, sent and scanned at a time and then destroyed, so neither the
+driver nor a task ever holds two; each pass writes the hits alone, which are put together by a digest of the text.
 """
 
 from __future__ import annotations
 
-import hashlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,23 +31,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.llm.shared import cut, small
 from strandline.llm.words import ALPHANUMERIC, U, Words, chunks, mix, tidy
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
 SPANS = "array<struct<start:int,end:int>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 class Automaton:
-    """A generalised suffix automaton of word-id sequences, with the items below each window-length state."""
+    """A generalised suffix automaton of word-id sequences, with the items below each window-length state, in flat arrays.
+
+    Nearly all states have one transition, which stands in two arrays; further ones are kept apart, sorted by (state, word),
+    and those of the start state, one a word, in an array by word."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         self.window = window
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.word, self.to = array("i", [-1]), array("i", [-1])
+        more: dict[int, dict[int, int]] = {0: {}}
         ids: dict[int, int] = {}
-        ends: list[tuple[int, int]] = []
-        bigrams: set[int] = set()
+        ends, of = array("i"), array("i")
+        pairs = [np.empty(0, U)]
         self.shortest, self.item_ids, self.whole = window, [], {}
         texts = pa.array([x[1] for x in items], pa.string())
         row = 0
@@ -50,78 +63,121 @@ class Automaton:
             for i in range(hi - lo):
                 own = h[words.first[i] : words.first[i + 1]]
                 if len(own):
+                    item = len(self.item_ids)
                     self.item_ids.append(items[row][0])
                     self.shortest = min(self.shortest, len(own))
-                    bigrams.update(mix(mix(own[:-1]) + own[1:]).tolist())
+                    pairs.append(np.unique(mix(mix(own[:-1]) + own[1:])))
                     last = 0
                     for w in own.tolist():
-                        last = self._extend(last, ids.setdefault(w, len(ids)))
-                        ends.append((last, len(self.item_ids) - 1))
+                        last = self._extend(last, ids.setdefault(w, len(ids)), more)
+                        ends.append(last)
+                        of.append(item)
                     if len(own) < window:
-                        self.whole.setdefault(last, []).append((len(own), len(self.item_ids) - 1))
+                        self.whole.setdefault(last, []).append((len(own), item))
                 row += 1
         keys = np.array(list(ids), U)
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], np.arange(len(keys))[order]
-        self.bigrams = np.sort(np.array(list(bigrams), U))
-        self._spread(ends)
-
-    def _extend(self, last: int, w: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if w in nxt[last]:
-            q = nxt[last][w]
-            return q if length[q] == length[last] + 1 else self._clone(last, w, q)
-        cur = len(nxt)
-        nxt.append({})
+        self.keys, self.values = keys[order], np.arange(len(keys), dtype=np.int32)[order]
+        self.bigrams = np.unique(np.concatenate(pairs))
+        self.start = array("i", bytes(4 * len(ids)))
+        for w, q in more.pop(0).items():
+            self.start[w] = q
+        flat = sorted((s * len(ids) + w, q) for s, own in more.items() for w, q in own.items())
+        self.more, self.more_to = array("q", (k for k, _ in flat)), array("i", (q for _, q in flat))
+        self._spread(np.array(ends, np.int32), np.array(of, np.int32))
+
+    def _extend(self, last: int, w: int, more: dict[int, dict[int, int]]) -> int:
+        word, to, link, length = self.word, self.to, self.link, self.length
+
+        def after(p: int) -> int:
+            return to[p] if word[p] == w else more[p].get(w, -1) if p in more else -1
+
+        def lead(p: int, q: int) -> None:
+            if p and word[p] in (-1, w):
+                word[p], to[p] = w, q
+            else:
+                more.setdefault(p, {})[w] = q
+
+        def split(p: int, q: int) -> int:
+            """The state of the longest of q's words that end with p's and w, as a state of its own."""
+            if length[q] == length[p] + 1:
+                return q
+            clone = len(link)
+            word.append(word[q])
+            to.append(to[q])
+            if q in more:
+                more[clone] = dict(more[q])
+            length.append(length[p] + 1)
+            link.append(link[q])
+            link[q] = clone
+            while p != -1 and after(p) == q:
+                lead(p, clone)
+                p = link[p]
+            return clone
+
+        q = after(last)
+        if q != -1:
+            return split(last, q)
+        cur = len(link)
+        word.append(-1)
+        to.append(-1)
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p != -1 and w not in nxt[p]:
-            nxt[p][w] = cur
+        while p != -1:
+            q = after(p)
+            if q != -1:
+                # looked up before the new state is led to: split may move q's transitions
+                link[cur] = split(p, q)
+                break
+            lead(p, cur)
             p = link[p]
-        if p != -1:
-            q = nxt[p][w]
-            link[cur] = q if length[q] == length[p] + 1 else self._clone(p, w, q)
         return cur
 
-    def _clone(self, p: int, w: int, q: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        clone = len(nxt)
-        nxt.append(dict(nxt[q]))
-        length.append(length[p] + 1)
-        link.append(link[q])
-        link[q] = clone
-        while p != -1 and nxt[p].get(w) == q:
-            nxt[p][w] = clone
-            p = link[p]
-        return clone
-
-    def _spread(self, ends: list[tuple[int, int]]) -> None:
-        """Each item goes to the states on the suffix path of its ends that span the window length (one state per end)."""
-        self.spanning: list[int] = [-1] * len(self.link)
-        for s in sorted(range(len(self.link)), key=self.length.__getitem__):
-            if self.length[s] >= self.window:
-                up = self.link[s]
-                self.spanning[s] = s if self.length[up] < self.window else self.spanning[up]
-        self.items: dict[int, set[int]] = {}
-        for s, item in ends:
-            if self.spanning[s] >= 0:
-                self.items.setdefault(self.spanning[s], set()).add(item)
+    def _spread(self, ends: np.ndarray, of: np.ndarray) -> None:
+        """Each item goes to the state on the suffix path of its ends that spans the window length (one state per end)."""
+        link, length = np.array(self.link, np.int32), np.array(self.length, np.int32)
+        at = np.arange(len(link), dtype=np.int32)
+        up = np.where((at > 0) & (length[link] >= self.window), link, at)
+        while True:
+            further = up[up]
+            if (further == up).all():
+                break
+            up = further
+        up[length < self.window] = -1
+        self.spanning = array("i", up.astype(np.int32).tobytes())
+        state = up[ends]
+        held = np.unique(state[state >= 0].astype(np.int64) << 32 | of[state >= 0])
+        self.held = array("i", (held & 0xFFFFFFFF).astype(np.int32).tobytes())
+        self.held_from = array("i", np.searchsorted(held >> 32, np.arange(len(link) + 1)).astype(np.int32).tobytes())
+
+    def _next(self, state: int, w: int) -> int:
+        """The state after one more word, 0 if there is none."""
+        if self.word[state] == w:
+            return self.to[state]
+        if not state:
+            return self.start[w]
+        key = state * len(self.keys) + w
+        i = bisect_left(self.more, key)
+        return self.more_to[i] if i < len(self.more) and self.more[i] == key else 0
 
     def match(self, ids: list[int], at: int, hits: list[tuple[int, int]], found: set[int]) -> None:
         """Streams a run of known words that starts at word ``at``; adds the spans of windows and the items that hold them."""
-        nxt, link, length, window = self.next, self.link, self.length, self.window
+        link, length, window, step = self.link, self.length, self.window, self._next
         state = size = 0
         for i, w in enumerate(ids, at + 1):
-            while state and w not in nxt[state]:
+            after = step(state, w)
+            while state and not after:
                 state = link[state]
                 size = length[state]
-            if w in nxt[state]:
-                state = nxt[state][w]
+                after = step(state, w)
+            if after:
+                state = after
                 size += 1
             if size >= window:
                 hits.append((i - window, i))
-                found |= self.items.get(self.spanning[state], set())
+                s = self.spanning[state]
+                found.update(self.held[self.held_from[s] : self.held_from[s + 1]])
             if self.whole:
                 s = state
                 while s > 0:
@@ -186,31 +242,57 @@ def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[
 def hit_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, text, n_words, spans (merged word ordinals, end exclusive), items (sorted) for each row of documents."""
     spark = documents.sparkSession
-    df = documents.select("doc_id", "text", F.lit(None).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = df.schema
-    for block in blocks_of(benchmark, block_words):
+    df = documents.select("doc_id", "text")
+    schema = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), *T._parse_datatype_string(f"spans {SPANS}, items array<string>").fields])
+    blocks = blocks_of(benchmark, block_words)
+    block, following = next(blocks), next(blocks, None)
+
+    def scanned(rows: DataFrame, block: list, schema: T.StructType) -> tuple:
+        """The rows with what an automaton of the block finds in their last column."""
         shared = spark.sparkContext.broadcast(Automaton(block, window))
+        names = schema.names
 
-        def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             auto = shared.value
             for batch in batches:
                 counts, spans, items = [], [], []
-                for _, _, data, off in chunks(batch.column(1)):
+                for _, _, data, off in chunks(batch.column(batch.num_columns - 1)):
                     words = Words(data, off, ALPHANUMERIC, lower=True)
                     counts += words.counts.tolist()
                     for found in auto.scan(words):
                         spans.append(merged(found[0]) if found else [])
                         items.append(sorted({auto.item_ids[i] for i in found[1]} - {None}) if found else [])
-                if any(batch.column(3).value_lengths().to_pylist()):
-                    for i, (old, ids) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                        spans[i] = merged(spans[i] + [(x["start"], x["end"]) for x in old])
-                        items[i] = sorted({*items[i], *ids})
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), spans, pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
+                spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS)
+                kept = batch.columns if "text" in names else batch.columns[:-1]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), spans, pa.array(items, pa.list_(pa.string()))], names=names)
+
+        return rows.mapInArrow(tidy(step), schema), shared
+
+    if following is None:
+        return scanned(df, block, schema)[0]
+    # several blocks: one pass over the texts for each, whose automaton goes before the next one comes; what they hit, by text, is put together
+    digest = [F.xxhash64("text", F.lit(i)).alias(f"k{i}") for i in (1, 2)]
+    part = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), *schema.fields[2:]])
+    hits = []
+    while block is not None:
+        found, shared = scanned(documents.select(*digest, "text"), block, part)
+        hits.append(cut(found.where("size(spans) > 0"), "hits"))
+        shared.destroy()
+        block, following = following, next(blocks, None)
+    together = F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    hit = small(cut(reduce(DataFrame.unionByName, hits).distinct().groupBy("k1", "k2").agg(*together), "hits"))
+    own = [F.xxhash64("text", F.lit(i)) == F.col(f"k{i}") for i in (1, 2)]
+    joined = df.join(hit, own, "left").select("doc_id", "text", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [Words(data, off, ALPHANUMERIC, lower=True).counts for _, _, data, off in chunks(batch.column(1))]
+            spans = [merged([(x["start"], x["end"]) for x in own]) for own in batch.column(2).to_pylist()]
+            spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS)
+            counts = pa.array(np.concatenate(counts) if counts else np.empty(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, spans, batch.column(3)], names=schema.names)
 
-        df = df.mapInArrow(tidy(step), schema)
-    return df
+    return joined.mapInArrow(tidy(settle), schema)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -262,7 +344,3 @@ def without_spans(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def _schema(row: T.DataType, key: str) -> T.StructType:
     return T.StructType([T.StructField(key, row), T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType()), T.StructField("keep", T.BooleanType())])
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(set(items))).encode()).hexdigest()
