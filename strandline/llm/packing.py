@@ -2,17 +2,19 @@
 
 A document's ids (its tokens, then the separator id) are cut where they are made: whole windows of ``window`` ids, then
 the rest, so every piece knows its checksum after one pass over the text. Pieces are dealt by a hash into groups of about
-``GROUP_PIECES``; in each, combinations of up to four lengths that fill a window are enumerated, non-negative least squares
+``GROUP_PIECES`` (their number follows rows and bytes); in each, combinations of up to four lengths that fill a window are enumerated, non-negative least squares
 fits their repeat counts to the length histogram, the counts are rounded down to what is there, and the residual pieces are
 packed greedily (best fit, longest first). Nothing but lengths and ids of pieces is shuffled.
 
-Defined results: a null or empty text is the separator alone (one piece); repeated rows are packed one by one; an empty
-table gives no pieces; other columns, whatever their names, are not read. sequence_id: the group times 2^32 plus the
+Defined results: a null or empty text is the separator alone (one piece); repeated rows are packed one by one; pieces of
+equal length are taken in the order of doc_id, start and checksum; a very long text becomes many pieces, which are dealt to
+all groups; an empty table gives no pieces; doc_id must be a whole number, or a text that spells one; other columns, whatever their names, are not read. sequence_id: the group times 2^32 plus the
 sequence's number there. Every sequence is padded to the window, so none has more than ``window`` ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -31,9 +33,17 @@ WINDOW, SEPARATOR, GROUP_PIECES, CACHE_WORDS, CACHE_PIECES = 4096, 2, 16_384, 50
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 #: Texts can be cut at ASCII blanks, as the tokenizer's normaliser turns runs of white space into one space and drops it.
 #: Words of printable ASCII and Latin-1 letters, which the normaliser only lower-cases; its pre-tokens for
-#: those; and the byte alphabet of byte-level models (printable bytes stand for themselves, the others for 256 and up).
+#: those; the normaliser and pre-tokens for which that holds; and the byte alphabet of byte-level models (printable bytes stand for themselves, the others for 256 and up).
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = [chr(b) if b in _SHOWN else chr(256 + sum(x not in _SHOWN for x in range(b))) for b in range(256)]
 
@@ -82,6 +92,10 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        told = json.loads(self.tokenizer.to_str())
+        own = told["model"]["type"] == "BPE" and not any(own["content"].find("<|") for own in told["added_tokens"])
+        #: Words can be encoded one by one only where the file cuts texts as the fixed values above say; other files get whole texts.
+        self.by_word = own and told["normalizer"] == _NORMALIZER and told["pre_tokenizer"] == _PRE_TOKENIZER and not told["truncation"]
         self.pieces: dict[str, bytes] = {}
         self.new, self.old = _Ids(), _Ids()
 
@@ -97,6 +111,11 @@ class Encoder:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a chunk of texts, one after another, and where each text's begin, with the end."""
+        if not self.by_word:
+            raw = data.tobytes()
+            every = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], add_special_tokens=False)
+            ids = [np.array(e.ids, np.uint32) for e in every]
+            return np.concatenate(ids) if ids else np.empty(0, np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         words = Words(data, off, BLANK_SEPARATED)
         keys, one, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
         if len(self.new.keys) + len(keys) > CACHE_WORDS:
@@ -263,7 +282,9 @@ def plan(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndar
 
 def packed(documents: DataFrame, tokenizer: str | None = None, window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    groups = max(1, round(documents.count() / GROUP_PIECES))
+    # no more pieces than this: a row has one, and one more for each window of its ids, of which it has no more than bytes; texts have about a third
+    known = documents.select(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("bytes")).first()
+    groups = max(1, round((known["rows"] + known["bytes"] / (3 * window)) / GROUP_PIECES))
     key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
 
     def place(group: pd.DataFrame) -> pd.DataFrame:

@@ -353,3 +353,14 @@ def test_draws_beyond_the_generator_keep_the_law(good, bad, n):
         m, p = min(good, n), max(good, n) / total
         want = math.comb(m, k) * p**k * (1 - p) ** (m - k)
         assert abs(got[k] / draws - want) < 5 * math.sqrt(want / draws) + 1e-5, k
+
+
+def test_other_tokenizer_files_are_encoded_whole(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    for r in packing.packed(docs, path).where("start = 0").join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        ids = [*plain.encode(r.text or "", add_special_tokens=False).ids, 2]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *ids[: r.length]))
