@@ -7,7 +7,8 @@ matrix, rows are exchanged, and each shard permutes again, which gives the slots
 driver sees one count for each block (``MAX_BLOCKS`` at most).
 
 Defined results: shard sizes differ by one at most; a null text has size 16 and the checksum 0 of no bytes; repeated rows
-get places of their own; null doc_ids share a block; an empty table gives no rows; other columns are not read. Slots are
+get places of their own; rows without a doc_id, or with the same one, are dealt by their texts; rows equal in the hashes are
+ordered by doc_id, checksum and size; a very long text is a row like any other; doc_id must be a whole number; an empty table gives no rows; other columns are not read. Slots are
 gapless in each shard: they are ranks in ranges of the second hash, plus the counts of the ranges before.
 """
 
@@ -71,9 +72,9 @@ def sharded(documents: DataFrame, shards: int = SHARDS, seed: int = 1) -> DataFr
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     total = documents.select("doc_id").count()
     blocks = max(1, min(MAX_BLOCKS, round(total / BLOCK_ROWS)))
-    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(seed)), F.lit(blocks)).cast("int")
     sizes = [0] * blocks
-    for r in documents.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy(block.alias("b")).count().collect():
+    for r in rows.groupBy(block.alias("b")).count().collect():
         sizes[r["b"]] = r["count"]
     cuts = np.cumsum(communication_matrix(sizes, shards, seed), axis=1)
     local = Window.partitionBy("block").orderBy("h1", "doc_id", "text_crc32", "size")
