@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import cut, small
+from strandline.llm.shared import cut, small, with_group
 from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, fold, mix, signed, tidy, window_hashes
 
 SHINGLE, CHUNKS, WIDTH, ERRORS, BITS = 5, 10, 4, 1, 16
@@ -189,16 +189,16 @@ def classes(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     docs = documents.select("doc_id", "text")
     signed_rows = cut(_signatures(docs, size), "signatures")
     known = signed_rows.where("doc_id is not null and n > 0")
-    least = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("keys").alias("keys"), F.first("n").alias("n"))
-    reps = cut(least.select("rep", "n", "signature", "keys", "k1", "k2"), "classes")
+    least = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("keys").alias("keys"), F.first("n").alias("n"), F.count(F.lit(1)).alias("m"))
+    reps = cut(least.select("rep", "n", "signature", "keys", "k1", "k2", "m"), "classes")
     buckets = cut(reps.select("rep", F.posexplode("keys").alias("place", "key")), "buckets")
     shared = buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     buckets = cut(buckets.join(shared, "key", "left_semi"), "buckets")
     # rows that share a doc_id are one node, so their classes are linked
     ties = known.groupBy("doc_id", "k1", "k2").count().groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id")
-    tied = known.join(small(ties), "doc_id", "left_semi").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    tied = known.join(small(cut(ties, "ties")), "doc_id", "left_semi").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     nodes = reps.select(F.col("rep").alias("node")).union(tied.select("b")).distinct()
-    members = reps.join(small(buckets.select("rep").distinct()), "rep", "left_semi").select("rep", "n", F.col("signature").alias("p"))
+    members = reps.join(small(cut(buckets.select("rep").distinct(), "ids")), "rep", "left_semi").select("rep", "n", F.col("signature").alias("p"))
     members = cut(members.dropDuplicates(["rep"]), "members")
 
     def sides(pairs: DataFrame, members: DataFrame, possible: Column) -> DataFrame:
@@ -216,7 +216,7 @@ def classes(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
         return met.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("rep").alias("b"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        ids = small(ids.select(F.col("rep").alias("doc_id")))
+        ids = small(cut(ids.select(F.col("rep").alias("doc_id")), "ids"))
         return cut(_sets(docs.join(ids, "doc_id", "left_semi"), size).groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "sets")
 
     # round 1: with the smallest of each bucket
@@ -252,8 +252,8 @@ def classes(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     more = cut(_confirmed(cut(rest, "pairs"), sets, percent), "links")
     if more.limit(1).count():
         labels = cut(components(nodes, links.union(more)), "components")
-    owner = reps.join(labels, reps.rep == labels.node).select("k1", "k2", "component")
-    named = known.select("doc_id", "n", "k1", "k2").join(owner, ["k1", "k2"])
+    owner = cut(reps.join(labels, reps.rep == labels.node).select("k1", "k2", "component", "m"), "owners")
+    named = with_group(known.select("doc_id", "n", "k1", "k2"), owner, ["k1", "k2"], known.count())
     alone = signed_rows.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
     every = named.select("doc_id", "n", "component").unionByName(alone)
     return every.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
@@ -262,4 +262,4 @@ def classes(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
 def keep_one(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of documents whose doc_id is the smallest of its component, with all their columns; of rows that share that doc_id all stay."""
     gone = classes(documents, size, percent).where("not kept").select("doc_id").distinct()
-    return documents.join(small(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    return documents.join(small(cut(gone, "gone")), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import cut, small
+from strandline.llm.shared import cut, small, with_group
 from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, fold, mix, signed, window_hashes
 
 WINDOW, ANCHOR = 50, 10
@@ -149,23 +149,30 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     docs = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("rk"))
     kind, row = dict(docs.dtypes)["doc_id"], ["doc_id", "rk"]
     seen = cut(_anchors(docs, window, anchor), "anchors")
-    classes = seen.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
-    known = seen.select(*row, "n_words", "k1", "k2", "whole_sha256").join(classes, ["k1", "k2"], "left")
-    known = cut(known.select(*row, "n_words", "whole_sha256", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy")), "copies")
-    copies = small(known.where("copy").select(*row))
+    # texts below the window's length, the wordless ones among them, are nobody's copies: they take no part in the join
+    able = seen.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
+    classes = cut(able.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")), "classes")
+    known = with_group(able.select(*row, "n_words", "k1", "k2", "whole_sha256"), classes, ["k1", "k2"], able.count())
+    known = known.select(*row, "n_words", "whole_sha256", (F.col("doc_id") > F.col("least")).alias("copy"))
+    rest = seen.where(F.col("doc_id").isNull() | (F.col("n_words") < window)).select(*row, "n_words", "whole_sha256", F.lit(False).alias("copy"))
+    known = cut(known.unionByName(rest), "copies")
+    copies = small(cut(known.where("copy").select(*row).distinct(), "copy_ids"))
     spread = seen.where("doc_id is not null and size(anchors) > 0").select(*row, "anchors").join(copies, row, "left_anti").select(*row, F.explode("anchors").alias("a"))
     both = spread.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a")
     risky = cut(spread.join(both, "a", "left_semi").groupBy(*row).agg(F.collect_set("a").alias("anchors")), "risky")
     affected = docs.join(small(risky.select(*row)), row, "left_semi")
     stretches = cut(_windows(affected, risky, window, anchor), "stretches")
     # whole stretches that an earlier document has too
-    least = stretches.groupBy("digest", F.size("hashes").alias("n")).agg(F.min("doc_id").alias("least"))
-    told = stretches.withColumn("n", F.size("hashes")).join(least, ["digest", "n"])
+    sized = stretches.withColumn("n", F.size("hashes"))
+    least = cut(sized.groupBy("digest", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")), "least")
+    told = with_group(sized, least, ["digest", "n"], stretches.count())
     settled = F.col("doc_id") > F.col("least")
     told = cut(told.select(*row, "firsts", "n", settled.alias("settled"), F.when(~settled, F.col("hashes")).alias("hashes")), "told")
     single = told.where("not settled").select(*row, "firsts", F.posexplode("hashes").alias("i", "w"))
-    early = single.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w", "least")
-    found = single.join(early, "w").where("doc_id > least").select(*row, F.explode("firsts").alias("first"), "i").select(*row, (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("n"))
+    early = cut(single.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("m")).where("least < most").select("w", "least", "m"), "early")
+    windows = told.where("not settled").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    met = with_group(single, early, ["w"], windows).where("doc_id > least")
+    found = met.select(*row, F.explode("firsts").alias("first"), "i").select(*row, (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("n"))
     ranges = told.where("settled").select(*row, F.explode("firsts").alias("first"), "n").unionByName(found)
     gone = cut(ranges.groupBy(*row).agg(F.collect_set(F.struct("first", "n")).alias("ranges")), "ranges")
 

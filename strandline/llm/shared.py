@@ -45,13 +45,14 @@ def small(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(table) if fits(table, limit) else table
 
 
-def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "m", how: str = "inner") -> DataFrame:
-    """rows joined with groups (one row a key; ``size``: how many rows the key has), both written by ``cut``. The rows of hot
-    keys, few keys by the bound above, meet their groups by broadcast, so that no task gets a whole hot group; the rest is shuffled."""
-    limit = max(HOT_ROWS, rows.count() // HOT_KEYS)
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, size: str = "m") -> DataFrame:
+    """rows (``total`` of them) joined with groups, written by ``cut``: one row a key, and in ``size`` how many rows the key
+    has. The rows of hot keys, few keys by the bound above, meet their groups by broadcast, so that no task gets a whole hot
+    group; the rest is shuffled."""
+    limit = max(HOT_ROWS, total // HOT_KEYS)
     hot = groups.where(F.col(size) > limit)
     if not hot.limit(1).count():
-        return rows.join(groups.drop(size), keys, how)
+        return rows.join(groups.drop(size), keys)
     hot = F.broadcast(hot.drop(size))
-    cold = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col(size) <= limit).drop(size), keys, how)
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col(size) <= limit).drop(size), keys)
     return rows.join(hot, keys).unionByName(cold)
