@@ -1,48 +1,16 @@
-"""The registered queries, each with SQL that DuckDB runs on the same tables. Floats are rounded on both sides."""
+"""The registered queries, each with SQL that DuckDB runs on the same tables; further families are in ``strandline.plans``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.windows import six
 from strandline.operators import backtest, events, features, joins, metrics, options, text, validation
+from strandline.plans.registry import H, ORACLE_SQL, QUERIES, RUNS, WD, D, W, query
+from strandline.plans.registry import table as _t
 from strandline.sources import bars, market_data
 from strandline.streaming import stream_bars as streams
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-H = """WITH b AS (SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d') AS session, CAST(hour(ts) AS INT) AS bar_index, arg_min(value, ts) AS open,
- max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2, 3)"""
-D = """WITH b AS (SELECT o_orderpriority AS symbol, strftime(o_orderdate, '%Y-%m-%d') AS session, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
- min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders GROUP BY 1, 2)"""
-W = "OVER (PARTITION BY symbol, session ORDER BY bar_index"
-WD = "OVER (PARTITION BY symbol ORDER BY session"
-#: Run ledger over hourly states.
-RUNS = H + f""", s AS (SELECT *, CAST(sign(close - open) AS INT) AS state, lag(bar_index) {W}) AS lb, lag(CAST(sign(close - open) AS INT)) {W}) AS ls FROM b),
- f AS (SELECT *, sum(CASE WHEN coalesce(bar_index - lb <> 1, false) OR coalesce(state <> ls, false) THEN 1 ELSE 0 END) {W} ROWS UNBOUNDED PRECEDING) AS run FROM s),
- r0 AS (SELECT symbol, session, run, state, min(bar_index) AS s, max(bar_index) AS e, count(*) AS duration FROM f GROUP BY ALL),
- r AS (SELECT *, CASE WHEN lead(s) OVER (PARTITION BY symbol, session ORDER BY run) IS NULL THEN 'session_end' WHEN lead(s) OVER (PARTITION BY symbol, session ORDER BY run) - e > 1 THEN 'gap' ELSE 'exit' END AS ending FROM r0)"""
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def _t(spark: SparkSession, d: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{table}.parquet")
-
-
 # bars and stores
 
 
@@ -330,15 +298,8 @@ def trade_side(spark, d):
     return j.select("event_id", side.alias("side"))
 
 
-@query("WITH s AS (SELECT p_brand AS brand, p_partkey AS k, p_retailprice - 5 AS lo, p_retailprice + 5 AS hi FROM part WHERE p_partkey % 5 = 1) SELECT p.p_partkey, s.k FROM part p JOIN s ON p.p_brand = s.brand AND s.lo <= p.p_retailprice AND p.p_retailprice < s.hi")
-def interval_join(spark, d):
-    p = _t(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand"), "p_retailprice")
-    s = p.where("p_partkey % 5 = 1").select("brand", F.col("p_partkey").alias("k"), (F.col("p_retailprice") - 5).alias("lo"), (F.col("p_retailprice") + 5).alias("hi"))
-    return joins.interval_join(p, s, ["brand"], "p_retailprice", "lo", "hi", 10.0).select("p_partkey", "k")
-
-
 @query("WITH s AS (SELECT p_brand AS brand, p_partkey AS k, p_retailprice - 5 AS lo, p_retailprice + 5 AS hi FROM part) SELECT p.p_partkey, s.k FROM part p JOIN s ON p.p_brand = s.brand AND s.lo <= p.p_retailprice AND p.p_retailprice < s.hi")
-def interval_join_all_parts(spark, d):
+def interval_join(spark, d):
     p = _t(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand"), "p_retailprice")
     s = p.select("brand", F.col("p_partkey").alias("k"), (F.col("p_retailprice") - 5).alias("lo"), (F.col("p_retailprice") + 5).alias("hi"))
     return joins.interval_join(p, s, ["brand"], "p_retailprice", "lo", "hi", 10.0).select("p_partkey", "k")
@@ -517,3 +478,8 @@ def hash_identity(spark, d):
 @query(H + " SELECT symbol, session, bar_index, open, high, low, close, volume FROM b")
 def stream_bars(spark, d):
     return streams.drained(spark, d)
+
+
+# the other families register themselves
+
+from strandline.plans import checks  # noqa: E402, F401
