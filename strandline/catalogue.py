@@ -482,4 +482,4 @@ def stream_bars(spark, d):
 
 # the other families register themselves
 
-from strandline.plans import checks, summaries  # noqa: E402, F401
+from strandline.plans import checks, research, summaries  # noqa: E402, F401

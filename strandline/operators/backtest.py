@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.windows import enough, expanding, ordered, prior, six, trailing
@@ -70,16 +70,22 @@ def splits(bars: DataFrame, train: int = 250, test: int = 60, embargo: int = 5)
 
 
 def walk_forward(bars: DataFrame, grid: list[tuple[int, int]], train: int = 250, test: int = 60, embargo: int = 5) -> DataFrame:
-    """For each split the parameter pair with the best training net (ties: the first), and its test net."""
-    every = None
+    """For each split the parameter pair with the best training net (ties: the first), and its test net. All pairs are columns of
+    one pass over the bars, and a row goes only to the splits that hold it, which its number tells."""
+    wide = bars
     for i, (fast, slow) in enumerate(grid):
-        r = evaluated(sma(bars, fast, slow)).select("symbol", F.lit(i).alias("param"), (F.row_number().over(ordered(BY, ORDER)) - 1).alias("row"), "net")
-        every = r if every is None else every.unionByName(r)
-    s = splits(bars, train, test, embargo)
-    joined = every.join(F.broadcast(s), "symbol").where((F.col("row") >= F.col("train_start")) & (F.col("row") < F.col("test_end")))
-    sums = joined.groupBy("symbol", "split", "param").agg(F.round(F.sum(F.when(F.col("row") < F.col("train_end"), F.col("net")).otherwise(0.0)), 9).alias("train_net"), F.sum(F.when(F.col("row") >= F.col("test_start"), F.col("net")).otherwise(0.0)).alias("test_net"))
-    best = sums.groupBy("symbol", "split").agg(F.max_by(F.struct("param", "train_net", "test_net"), F.struct("train_net", -F.col("param"))).alias("b"))
-    return best.select("symbol", "split", "b.param", six(F.col("b.train_net")).alias("train_net"), six(F.col("b.test_net")).alias("test_net"))
+        wide = sma(wide, fast, slow).withColumnRenamed("position", f"__p{i}")
+    w = ordered(BY, ORDER)
+    move = F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1, F.lit(0.0))
+    wide = wide.withColumns({"__move": move, "__row": F.row_number().over(w) - 1, "__n": F.count(F.lit(1)).over(Window.partitionBy(*BY))} | {f"__h{i}": F.coalesce(F.lag(f"__p{i}").over(w), F.lit(0.0)) for i in range(len(grid))})
+    net = lambda i: F.col(f"__h{i}") * F.col("__move") - F.abs(F.col(f"__p{i}") - F.col(f"__h{i}")) * 5.0 / 10000
+    length = train + embargo + test
+    first, last = F.greatest(F.ceil((F.col("__row") - length + 1) / F.lit(test)), F.lit(0)).cast("int"), F.least(F.floor(F.col("__row") / test), F.floor((F.col("__n") - length) / F.lit(test))).cast("int")
+    rows = wide.where((F.col("__n") >= length) & (first <= last)).select("symbol", "__row", F.explode(F.sequence(first, last)).alias("split"), *[net(i).alias(f"__net{i}") for i in range(len(grid))])
+    at = F.col("__row") - F.col("split") * test
+    sums = rows.groupBy("symbol", "split").agg(*[x for i in range(len(grid)) for x in (F.round(F.sum(F.when(at < train, F.col(f"__net{i}")).otherwise(0.0)), 9).alias(f"__a{i}"), F.sum(F.when(at >= train + embargo, F.col(f"__net{i}")).otherwise(0.0)).alias(f"__b{i}"))])
+    best = F.array_max(F.array(*[F.struct(F.col(f"__a{i}").alias("train_net"), F.lit(-i).alias("order"), F.col(f"__b{i}").alias("test_net")) for i in range(len(grid))]))
+    return sums.withColumn("b", best).select("symbol", "split", (-F.col("b.order")).alias("param"), six(F.col("b.train_net")).alias("train_net"), six(F.col("b.test_net")).alias("test_net"))
 
 
 def circular_shift_null(returns: DataFrame, shifts: tuple[int, ...] = (7, 31, 101, 211)) -> DataFrame:

@@ -133,11 +133,11 @@ def stock_contributions(spark, d):
     return summaries.stock_contributions(fills(spark, d), ["l_returnflag", "l_linestatus"], "l_suppkey", "net", "cost", 2.0)
 
 
-PANEL = FILLS + ", p AS (SELECT month, l_returnflag AS regime, l_suppkey AS stock, round(avg(net), 2) AS v FROM f GROUP BY 1, 2, 3)"
+PANEL = FILLS + ", p AS (SELECT month, l_returnflag AS regime, l_suppkey AS stock, sum(l_quantity) - 30 AS v FROM f GROUP BY 1, 2, 3)"
 
 
 def _panel(spark, d):
-    return fills(spark, d).groupBy("month", F.col("l_returnflag").alias("regime"), F.col("l_suppkey").alias("stock")).agg(F.round(F.avg("net"), 2).alias("v"))
+    return fills(spark, d).groupBy("month", F.col("l_returnflag").alias("regime"), F.col("l_suppkey").alias("stock")).agg((F.sum("l_quantity") - 30).alias("v"))
 
 
 @query(PANEL + ", c AS (SELECT *, median(v) OVER (PARTITION BY month) AS common FROM p), r AS (SELECT *, median(v - common) OVER (PARTITION BY month, regime) AS rp FROM c) SELECT month, regime, stock, round(common, 4) AS common, round(rp, 4) AS regime_part, round(v - common - rp, 4) AS rest FROM r")
