@@ -249,17 +249,20 @@ def duration_hazard(spark, d):
     return events.duration_hazard(bars.hourly(spark, d))
 
 
-@query()
+@query(RUNS + """, p AS (SELECT symbol, session, run, state, list(state) OVER (PARTITION BY symbol, session ORDER BY run ROWS 4 PRECEDING) AS path FROM r), k AS (SELECT *, list_max(list_filter(range(1, len(path)), lambda i: path[i] = state)) AS back FROM p), w AS (SELECT symbol, session, run, list_slice(path, back, len(path) - 1) AS walk FROM k WHERE back IS NOT NULL), o AS (SELECT symbol, session, run, walk, unnest(range(1, len(walk) + 1)) AS i FROM w WHERE len(walk) > 1)
+ SELECT symbol, session, CAST(run AS BIGINT) AS run, array_to_string(min(list_concat(list_slice(walk, i, len(walk)), list_slice(walk, 1, i - 1))), ',') AS loop FROM o GROUP BY symbol, session, run""")
 def loop_closures(spark, d):
     return events.closures(bars.hourly(spark, d))
 
 
-@query()
+@query("WITH RECURSIVE " + H.removeprefix("WITH ") + """, e AS (SELECT symbol, session, max(high) AS h, min(low) AS l, count(*) AS c FROM b WHERE bar_index < 3 GROUP BY 1, 2), n AS (SELECT b.symbol, b.session, bar_index, close, CASE WHEN bar_index >= 3 AND c >= 3 THEN h END AS h, round(CASE WHEN bar_index >= 3 AND c >= 3 THEN (h + l) / 2 END, 6) AS m, row_number() OVER (PARTITION BY b.symbol, b.session ORDER BY bar_index) AS n FROM b LEFT JOIN e USING (symbol, session)),
+ f AS (SELECT symbol, session, bar_index, n, CASE WHEN close > h THEN 1 ELSE 0 END AS position, CASE WHEN close > h THEN 1 ELSE 0 END AS age, false AS done FROM n WHERE n = 1 UNION ALL SELECT n.symbol, n.session, n.bar_index, n.n, CASE WHEN f.position = 1 AND (n.close < n.m OR f.age >= 5) THEN 0 WHEN f.position = 0 AND NOT f.done AND n.close > n.h THEN 1 ELSE f.position END, CASE WHEN f.position = 0 AND NOT f.done AND n.close > n.h THEN 1 WHEN f.position = 1 AND NOT (n.close < n.m OR f.age >= 5) THEN f.age + 1 ELSE f.age END, f.done OR (f.position = 1 AND (n.close < n.m OR f.age >= 5)) FROM f JOIN n ON n.symbol = f.symbol AND n.session = f.session AND n.n = f.n + 1) SELECT symbol, session, bar_index, position FROM f""")
 def opening_range_breakout(spark, d):
     return events.breakout_hold(bars.hourly(spark, d))
 
 
-@query()
+@query("WITH RECURSIVE " + H.removeprefix("WITH ") + """, n AS (SELECT symbol, session, bar_index, close / (close + open) AS p, row_number() OVER (PARTITION BY symbol, session ORDER BY bar_index) AS n FROM b), f AS (SELECT symbol, session, bar_index, n, CASE WHEN p >= 1 - p THEN 0 ELSE 1 END AS held FROM n WHERE n = 1
+ UNION ALL SELECT n.symbol, n.session, n.bar_index, n.n, CASE WHEN greatest(p, 1 - p) >= 0.6 AND greatest(p, 1 - p) - CASE WHEN f.held = 0 THEN p ELSE 1 - p END >= 0.1 THEN CASE WHEN p >= 1 - p THEN 0 ELSE 1 END ELSE f.held END FROM f JOIN n ON n.symbol = f.symbol AND n.session = f.session AND n.n = f.n + 1) SELECT symbol, session, bar_index, held FROM f""")
 def hysteresis(spark, d):
     b = bars.hourly(spark, d)
     up = F.col("close") / (F.col("close") + F.col("open"))
@@ -345,7 +348,7 @@ def session_payoff_two_stage(spark, d):
 
 @query("SELECT l_linestatus, l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_linestatus, l_returnflag), ())")
 def grouping_sets_breakdown(spark, d):
-    return metrics.breakdowns(_t(spark, d, "lineitem"), "strandline_fills", "(l_returnflag), (l_linestatus), (l_linestatus, l_returnflag), ()", "l_quantity")
+    return metrics.breakdowns(_t(spark, d, "lineitem"), [["l_returnflag"], ["l_linestatus"], ["l_linestatus", "l_returnflag"], []], "l_quantity")
 
 
 @query("WITH g AS (SELECT l_suppkey, sum(l_extendedprice * l_discount) AS v FROM lineitem GROUP BY 1) SELECT l_suppkey, round(v, 3) AS total, round(abs(v) / (SELECT sum(abs(v)) FROM g), 6) AS share FROM g")
@@ -424,14 +427,24 @@ def walk_forward_splits(spark, d):
     return backtest.splits(bars.daily(spark, d))
 
 
-@query()
+WFS = D + ", n0 AS (SELECT symbol, count(*) AS n FROM b GROUP BY 1), g AS (" + " UNION ALL ".join(f"SELECT symbol, session, close, {i} AS param, CASE WHEN row_number() {WD}) >= {s} AND round(avg(close) {WD} ROWS {f - 1} PRECEDING), 6) > round(avg(close) {WD} ROWS {s - 1} PRECEDING), 6) THEN 1.0 ELSE 0.0 END::DOUBLE AS position FROM b" for i, (f, s) in enumerate([(3, 10), (5, 20), (10, 40)])) + """), e0 AS (SELECT *, coalesce(close / lag(close) OVER w - 1, 0) AS mv, coalesce(lag(position) OVER w, 0) AS held, row_number() OVER w - 1 AS r FROM g WINDOW w AS (PARTITION BY symbol, param ORDER BY session)), e AS (SELECT *, held * mv - abs(position - held) * 5.0 / 10000 AS net FROM e0),
+ s AS (SELECT symbol, CAST(i AS INT) AS split, i * 60 AS a FROM n0, range(0, 1000) t(i) WHERE i * 60 + 315 <= n), t AS (SELECT symbol, split, param, round(sum(CASE WHEN r < a + 250 THEN net ELSE 0 END), 9) AS train_net, sum(CASE WHEN r >= a + 255 THEN net ELSE 0 END) AS test_net FROM e JOIN s USING (symbol) WHERE r >= a AND r < a + 315 GROUP BY 1, 2, 3)"""
+
+
+@query(WFS + " SELECT symbol, split, param, round(train_net, 6) AS train_net, round(test_net, 6) AS test_net FROM t QUALIFY row_number() OVER (PARTITION BY symbol, split ORDER BY train_net DESC, param) = 1")
 def walk_forward_selection(spark, d):
     return backtest.walk_forward(bars.daily(spark, d), [(3, 10), (5, 20), (10, 40)])
 
 
-@query()
+CALM = D.replace("o_totalprice", "(300000 + o_totalprice / 10)")
+BREAKOUT = CALM + f", r AS (SELECT *, row_number() {WD}) AS n, max(high) {WD} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS h, min(low) {WD} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS l FROM b), s AS (SELECT *, CASE WHEN n >= 21 AND close > h THEN 1.0 WHEN n >= 21 AND close < l THEN 0.0 END::DOUBLE AS raw FROM r), p AS (SELECT symbol, session, close, coalesce(last_value(raw IGNORE NULLS) {WD} ROWS UNBOUNDED PRECEDING), 0.0) AS position FROM s)"
+
+
+@query(BREAKOUT + EVAL + f", q AS (SELECT *, exp(sum(ln(1 + net)) {WD} ROWS UNBOUNDED PRECEDING)) AS eq FROM e), k AS (SELECT *, max(eq) {WD} ROWS UNBOUNDED PRECEDING) AS pk FROM q) SELECT symbol, round(exp(sum(ln(1 + net))) - 1, 5) AS compound, round(sum(greatest(gross, 0)) / -sum(least(gross, 0)), 5) AS profit_factor, round(avg(abs(position)), 6) AS exposure, count(*) FILTER (WHERE turnover > 0) AS trades, round(avg(net) / stddev_samp(net) * sqrt(252), 5) AS sharpe, round(min(eq / pk - 1), 5) AS max_drawdown FROM k GROUP BY 1")
 def backtest_summary(spark, d):
-    return backtest.summary(backtest.evaluated(backtest.breakout(bars.daily(spark, d))))
+    # calmer prices than the orders' own, so that compounded returns stay comparable
+    b = bars.daily(spark, d).withColumns({c: 300000 + F.col(c) / 10 for c in ("open", "high", "low", "close")})
+    return backtest.summary(backtest.evaluated(backtest.breakout(b)))
 
 
 # options, vectors, text

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strandline.functions.windows import expanding, forward, islands, ordered, six
-from strandline.operators.features import BAR, SESSION
+from strandline.operators.features import BAR, SESSION, opening_range
 
 
 def forward_returns(bars: DataFrame, horizons: tuple[int, ...] = (1, 3)) -> DataFrame:
@@ -123,44 +124,46 @@ def closures(bars: DataFrame, reach: int = 4) -> DataFrame:
     return r.select(*SESSION, "run", F.array_join(F.array_min(rotations), ",").alias("loop"))
 
 
-def hysteresis(posteriors: DataFrame, by: list[str], order: str, switch: float = 0.6, margin: float = 0.1) -> DataFrame:
-    """A state is left only for one with a probability of ``switch`` and ``margin`` more: a sequential rule, one group at a time."""
-    schema = T.StructType([*posteriors.schema.fields, T.StructField("held", T.IntegerType())])
-
-    def hold(pdf):
-        held, out = None, []
-        pdf = pdf.sort_values(order)
-        for p in pdf["p"]:
-            best = max(range(len(p)), key=lambda i: p[i])
-            if held is None or best != held and p[best] >= switch and p[best] - p[held] >= margin:
-                held = best
-            out.append(held)
-        return pdf.assign(held=out)
+def folded(rows: DataFrame, by: list[str], order: str, values: list[str], start: Column, step: Callable[[Column, Column], Column], out: str) -> DataFrame:
+    """A rule that goes from row to row: a fold over each group's rows in order, whose array a session's length bounds. ``step(state, row)`` gives the next state; ``out`` names its field that is kept for each row."""
+    run = F.array_sort(F.collect_list(F.struct(order, *values)))
+    kind = rows.select(start.alias("s")).schema["s"].dataType[out].dataType.simpleString()
+    begin = F.struct(start.alias("s"), F.array().cast(f"array<{kind}>").alias("out"))
 
-    return posteriors.groupBy(*by).applyInPandas(hold, schema)
+    def both(acc: Column, row: Column) -> Column:
+        state = step(acc["s"], row)
+        return F.struct(state.alias("s"), F.concat(acc["out"], F.array(state[out])).alias("out"))
 
+    made = rows.groupBy(*by).agg(run.alias("__rows")).withColumn("__out", F.aggregate("__rows", begin, both, lambda a: a["out"]))
+    return made.select(*by, F.explode(F.arrays_zip(F.col("__rows"), F.col("__out"))).alias("z")).select(*by, *[F.col(f"z.__rows.{c}").alias(c) for c in (order, *values)], F.col("z.__out").alias(out))
 
-def breakout_hold(bars: DataFrame, hours: int = 3, most: int = 5) -> DataFrame:
-    """Opening-range template: in at a close above the range, out below its middle or after ``most`` bars (the entry is the first), no second entry."""
-    schema = "symbol string, session string, bar_index int, position int"
-    from strandline.operators.features import opening_range
 
-    joined = bars.select(*SESSION, "bar_index", "close").join(opening_range(bars, hours).select(*SESSION, "bar_index", "or_high", "or_mid"), [*SESSION, "bar_index"])
+def hysteresis(posteriors: DataFrame, by: list[str], order: str, switch: float = 0.6, margin: float = 0.1) -> DataFrame:
+    """A state is left only for one with a probability of ``switch`` and ``margin`` more; the first is the likeliest (ties: the lowest)."""
+    best = lambda p: (F.array_position(p, F.array_max(p)) - 1).cast("int")
 
-    def walk(pdf):
-        inside, done, age, out = 0, False, 0, []
-        pdf = pdf.sort_values("bar_index")
-        for c, high, mid in zip(pdf["close"], pdf["or_high"], pdf["or_mid"], strict=True):
-            if inside:
-                if c < mid or age >= most:
-                    inside, done = 0, True
-                else:
-                    age += 1
-            elif not done and high == high and high is not None and c > high:
-                inside, age = 1, 1
-            out.append(inside)
-        return pdf[["symbol", "session", "bar_index"]].assign(position=out)
+    def step(state: Column, row: Column) -> Column:
+        top, held, p = best(row["p"]), state["held"], row["p"]
+        leave = (F.array_max(p) >= switch) & (F.array_max(p) - F.get(p, held) >= margin)
+        return F.struct(F.when(held.isNull() | leave, top).otherwise(held).alias("held"))
 
-    return joined.groupBy(*SESSION).applyInPandas(walk, schema)
+    return folded(posteriors, by, order, ["p"], F.struct(F.lit(None).cast("int").alias("held")), step, "held")
 
 
+def breakout_hold(bars: DataFrame, hours: int = 3, most: int = 5) -> DataFrame:
+    """Opening-range template: in at a close above the range, out below its middle or after ``most`` bars (the entry is the first), no second entry."""
+    ranges = opening_range(bars, hours).select(*SESSION, "bar_index", "or_high", "or_mid")
+    joined = bars.select(*SESSION, "bar_index", "close").join(ranges, [*SESSION, "bar_index"])
+
+    def step(state: Column, row: Column) -> Column:
+        inside = state["position"] == 1
+        leave = inside & ((row["close"] < row["or_mid"]) | (state["age"] >= most))
+        enter = ~inside & ~state["done"] & F.coalesce(row["close"] > row["or_high"], F.lit(False))
+        return F.struct(
+            F.when(leave, 0).when(enter, 1).otherwise(state["position"]).alias("position"),
+            F.when(enter, 1).when(inside & ~leave, state["age"] + 1).otherwise(state["age"]).alias("age"),
+            (state["done"] | leave).alias("done"),
+        )
+
+    start = F.struct(F.lit(0).alias("position"), F.lit(0).alias("age"), F.lit(False).alias("done"))
+    return folded(joined, SESSION, "bar_index", ["close", "or_high", "or_mid"], start, step, "position").select(*SESSION, "bar_index", "position")

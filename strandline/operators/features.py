@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions.windows import before, enough, expanding, islands, ordered, prior, six, trailing
 
@@ -80,19 +86,18 @@ def segments(bars: DataFrame) -> DataFrame:
 
 
 def cross_section(bars: DataFrame, least: int = 3) -> DataFrame:
-    """Return against the others of the same time: average rank in [0, 1], mean, breadth, dispersion, and the rest's median."""
+    """Return against the others of the same time: average rank in [0, 1], mean, breadth, dispersion, and the rest's median.
+    The rest's median is one or two of the middle returns of all, next to the place of the row itself: no row carries its peers."""
     r = with_return(bars, SESSION, BAR).where("ret is not null")
     at = Window.partitionBy("session", "bar_index")
-    ties = F.count(F.lit(1)).over(Window.partitionBy("session", "bar_index", "ret"))
-    rank = F.rank().over(at.orderBy("ret")) + (ties - 1) / 2
-    n = F.count(F.lit(1)).over(at)
-    everyone = F.array_sort(F.collect_list("ret").over(at))
-    out = r.select(*SESSION, "bar_index", "ret", n.alias("peers"), rank.alias("rank"), F.avg("ret").over(at).alias("mean"), F.avg((F.col("ret") > 0).cast("double")).over(at).alias("breadth"), F.stddev_samp("ret").over(at).alias("sd"), everyone.alias("all"))
-    place = F.array_position("all", F.col("ret")).cast("int")
-    rest = F.concat(F.slice("all", F.lit(1), place - 1), F.slice("all", place + 1, F.col("peers").cast("int")))
-    out = out.withColumn("rest", rest).withColumn("m", F.size("rest"))
-    median = F.when(F.col("m") > 0, (F.get("rest", F.floor((F.col("m") - 1) / 2).cast("int")) + F.get("rest", F.floor(F.col("m") / 2).cast("int"))) / 2)
-    return out.select(*SESSION, "bar_index", "peers", six(F.when(F.col("peers") >= least, (F.col("rank") - 1) / (F.col("peers") - 1))).alias("rank_score"), six(F.col("ret") - F.col("mean")).alias("relative"), six(F.col("breadth")).alias("breadth"), F.round("sd", 5).alias("dispersion"), six(median).alias("rest_median"))
+    r = r.withColumns({"place": F.row_number().over(at.orderBy("ret", "symbol")) - 1, "least": F.rank().over(at.orderBy("ret")), "n": F.count(F.lit(1)).over(at)})
+    low, high = F.floor((F.col("n") - 2) / 2), F.floor((F.col("n") - 1) / 2)
+    at_place = lambda k: F.max(F.when(F.col("place") == k, F.col("ret"))).over(at)
+    stats = {"a": at_place(low), "b": at_place(low + 1), "c": at_place(high), "d": at_place(high + 1), "mean": F.avg("ret").over(at), "breadth": F.avg((F.col("ret") > 0).cast("double")).over(at), "sd": F.stddev_samp("ret").over(at), "ties": F.count(F.lit(1)).over(Window.partitionBy("session", "bar_index", "ret"))}
+    r = r.withColumns(stats)
+    rank = F.col("least") + (F.col("ties") - 1) / 2
+    median = F.when(F.col("n") > 1, (F.when(low < F.col("place"), F.col("a")).otherwise(F.col("b")) + F.when(high < F.col("place"), F.col("c")).otherwise(F.col("d"))) / 2)
+    return r.select(*SESSION, "bar_index", F.col("n").alias("peers"), six(F.when(F.col("n") >= least, (rank - 1) / (F.col("n") - 1))).alias("rank_score"), six(F.col("ret") - F.col("mean")).alias("relative"), six(F.col("breadth")).alias("breadth"), F.round("sd", 5).alias("dispersion"), six(median).alias("rest_median"))
 
 
 def regimes(bars: DataFrame, window: int = 10) -> DataFrame:
@@ -105,8 +110,8 @@ def regimes(bars: DataFrame, window: int = 10) -> DataFrame:
     slow = enough(F.avg("close").over(prior(by, order, 2 * window)), n - 1, 2 * window)
     down = F.lag("close").over(ordered(by, order)) / F.max("close").over(before(by, order)) - 1
     r = r.select("symbol", "session", "ret", F.round(sd, 9).alias("vol"), F.round(fast - slow, 9).alias("trend"), (down <= -0.10).alias("drawdown"))
-    median = enough(F.percentile("vol", F.lit(0.5)).over(expanding(by, order)), F.count("vol").over(expanding(by, order)), window)
-    volatility = F.when(F.col("vol").isNull() | median.isNull(), "unknown").when(F.col("vol") > median, "high").otherwise("low")
+    r = scanned(r, by, order, "vol", "median", running_median(window))
+    volatility = F.when(F.col("vol").isNull() | F.col("median").isNull(), "unknown").when(F.col("vol") > F.col("median"), "high").otherwise("low")
     return r.select("symbol", "session", "ret", volatility.alias("volatility"), F.when(F.col("trend").isNull(), "unknown").when(F.col("trend") > 0, "up").otherwise("down").alias("trend"), F.coalesce("drawdown", F.lit(False)).alias("drawdown"))
 
 
@@ -123,13 +128,54 @@ def causal_rank(bars: DataFrame, least: int = 5, window: int = 60) -> DataFrame:
     return seen.select("symbol", "session", six(F.when(F.size("seen") >= least, ((below + 0.5 * same) / F.size("seen") - 0.5) * 2)).alias("rank_score"))
 
 
-def ewm(bars: DataFrame, span: int = 20, least: int = 15, reach: int = 400) -> DataFrame:
-    """Exponentially weighted mean of closes (weights (1-a)^k over the last ``reach`` rows, the rest of the weight on the oldest), as adjust=False; beyond reach weights are under 1e-17."""
-    a = 2 / (span + 1)
-    w = trailing(["symbol"], ["session"], reach)
-    seen = bars.select("symbol", "session", "close", F.collect_list("close").over(w).alias("seen"))
-    mean = F.aggregate(F.slice("seen", F.lit(2), F.size("seen")), F.get("seen", F.lit(0)), lambda m, x: m * (1 - a) + x * a)
-    return seen.select("symbol", "session", F.round(F.when(F.size("seen") >= least, mean), 2).alias("ewm"))
+def ewm(bars: DataFrame, span: int = 20, least: int = 15) -> DataFrame:
+    """Exponentially weighted mean of closes, as adjust=False: one pass over each symbol, in blocks with the state carried on."""
+    out = scanned(bars.select("symbol", "session", "close"), ["symbol"], ["session"], "close", "mean", running_ewm(2 / (span + 1), least))
+    return out.select("symbol", "session", F.round("mean", 2).alias("ewm"))
+
+
+def running_median(least: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The median of all values so far (null: skipped), from a sorted list into which each value is put."""
+
+    def step(values: np.ndarray) -> np.ndarray:
+        seen: list[float] = []
+        out = np.full(len(values), np.nan)
+        for i, v in enumerate(values.tolist()):
+            if v == v:
+                insort(seen, v)
+            n = len(seen)
+            if n >= least:
+                out[i] = (seen[(n - 1) // 2] + seen[n // 2]) / 2
+        return out
+
+    return step
+
+
+def running_ewm(alpha: float, least: int, block: int = 512) -> Callable[[np.ndarray], np.ndarray]:
+    def step(values: np.ndarray) -> np.ndarray:
+        out, keep = np.empty(len(values)), (1 - alpha) ** np.arange(block + 1)
+        state = values[0] if len(values) else 0.0
+        for at in range(0, len(values), block):
+            x = values[at : at + block]
+            n = len(x)
+            out[at : at + n] = keep[1 : n + 1] * state + alpha * keep[:n] * np.cumsum(x / keep[:n])
+            state = out[at + n - 1]
+        out[: least - 1] = np.nan
+        return out
+
+    return step
+
+
+def scanned(rows: DataFrame, by: list[str], order: list[str], value: str, into: str, step: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Adds what a function makes of each group's values in order: one shuffle, one pass, memory of one group's columns. For running statistics that a frame would compute anew for each row."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(into, T.DoubleType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in order])
+        values = np.asarray(table.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False), float)
+        return table.append_column(into, pa.array(step(values), from_pandas=True))
+
+    return rows.groupBy(*by).applyInArrow(run, schema)
 
 
 def daily_features(bars: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.windows import six
@@ -14,30 +14,34 @@ def two_stage(fills: DataFrame, cell: Sequence[str], unit: str, value: str, cap:
     """Fills to one capped mean for each unit, then the median, MAD and positive share of units in a cell."""
     units = fills.groupBy(*cell, unit).agg(F.greatest(F.least(F.round(F.avg(value), 9), F.lit(cap)), F.lit(-cap)).alias("x"))
     middle = units.groupBy(*cell).agg(F.percentile("x", F.lit(0.5)).alias("m"))
-    joined = units.join(F.broadcast(middle), list(cell))
+    joined = units.join(middle, list(cell))
     return joined.groupBy(*cell).agg(F.count(F.lit(1)).alias("units"), six(F.max("m")).alias("median"), six(F.percentile(F.abs(F.col("x") - F.col("m")), F.lit(0.5)) * 1.4826).alias("mad"), six(F.avg((F.col("x") > 0).cast("double"))).alias("positive"))
 
 
-def breakdowns(rows: DataFrame, view: str, sets: str, value: str) -> DataFrame:
+def breakdowns(rows: DataFrame, sets: Sequence[Sequence[str]], value: str) -> DataFrame:
     """Metrics over several dimensions in one pass."""
-    rows.createOrReplaceTempView(view)
-    names = sorted({c for s in sets.split("(") for c in s.replace(")", "").replace(" ", "").split(",") if c})
-    columns = ", ".join(names)
-    return rows.sparkSession.sql(f"select {columns}, count(*) as n, round(avg({value}), 6) as mean from {view} group by grouping sets ({sets})")
+    names = sorted({c for s in sets for c in s})
+    return rows.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(F.count(F.lit(1)).alias("n"), six(F.avg(value)).alias("mean"))
 
 
 def concentration(rows: DataFrame, dimension: str, value: str) -> DataFrame:
-    """Each group's share of the absolute total."""
+    """Each group's share of the absolute total: the total is a window over the groups, summed by range first."""
     g = rows.groupBy(dimension).agg(F.sum(value).alias("v"))
-    total = g.agg(F.sum(F.abs("v")).alias("t"))
-    return g.join(F.broadcast(total)).select(dimension, F.round("v", 3).alias("total"), six(F.abs("v") / F.col("t")).alias("share"))
+    return _with_total(g, {"t": F.abs("v")}).select(dimension, F.round("v", 3).alias("total"), six(F.abs("v") / F.col("t")).alias("share"))
+
+
+def _with_total(groups: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """Adds totals over all groups: summed in salted parts, then over those, and joined as one row."""
+    salted = groups.groupBy(F.pmod(F.xxhash64(*groups.columns), F.lit(64)).alias("__s")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    total = salted.agg(F.lit(1).alias("__one"), *[F.sum(n).alias(n) for n in sums])
+    return groups.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one").drop("__one")
 
 
 def leave_one_out(rows: DataFrame, dimension: str, value: str) -> DataFrame:
     """The mean without each group: totals less parts, not one pass for each group."""
     g = rows.groupBy(dimension).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    total = g.agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
-    return g.join(F.broadcast(total)).select(dimension, six(F.try_divide(F.col("ts") - F.col("s"), F.col("tn") - F.col("n"))).alias("mean_without"))
+    j = _with_total(g, {"ts": F.col("s"), "tn": F.col("n")})
+    return j.select(dimension, six(F.try_divide(F.col("ts") - F.col("s"), F.col("tn") - F.col("n"))).alias("mean_without"))
 
 
 def weighted_quantile(rows: DataFrame, by: Sequence[str], value: str, weight: str, q: float) -> DataFrame:
@@ -51,11 +55,16 @@ def weighted_quantile(rows: DataFrame, by: Sequence[str], value: str, weight: st
     return g.groupBy(*by).agg(six(F.max(at)).alias("quantile"))
 
 
-def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """Rank AUC with ties at half, from counts by score: no global sort of rows, only of distinct scores by their running sum."""
-    c = rows.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("below", below)
+def auc(rows: DataFrame, score: str, label: str, ranges: int = 256) -> DataFrame:
+    """Rank AUC with ties at half, from counts by score. Scores are cut into ranges at approximate quantiles (a fixed number, told
+    to all); each range runs its own sum, and the sums of the ranges before it are added: no task sorts all scores."""
+    c = rows.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("n"))
+    bounds = sorted(set(rows.agg(F.percentile_approx(F.col(score).cast("double"), [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []))
+    c = c.withColumn("range", F.size(F.filter(F.array(*[F.lit(x) for x in bounds]).cast("array<double>"), lambda x: x < F.col("s"))))
+    sums = c.groupBy("range").agg(F.sum("n").alias("own"))
+    earlier = sums.select("range", F.coalesce(F.sum("own").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c = c.withColumn("inside", inside).join(F.broadcast(earlier), "range").withColumn("below", F.col("inside") + F.col("earlier"))
     return c.agg(six(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
