@@ -23,10 +23,10 @@ def screener_rows(spark, d):
     return vendor.normalize_screener(screen_json(spark, d)).drop("industry", "market_capitalization")
 
 
-@query("SELECT p_partkey FROM part WHERE p_brand = '' AND p_retailprice >= 1200 AND p_size >= 10")
+@query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#11' AND p_retailprice >= 940 AND p_size >= 10")
 def screener_filters(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("exchange"), F.col("p_retailprice").alias("adjusted_close"), F.col("p_size").alias("avgvol_200d"))
-    return vendor.apply_filters(p, vendor.screener_filters("", {"adjusted_close": 1200, "avgvol_200d": 10, "market_capitalization": None})).select("p_partkey")
+    return vendor.apply_filters(p, vendor.screener_filters("Brand#11", {"adjusted_close": 940, "avgvol_200d": 10, "market_capitalization": None})).select("p_partkey")
 
 
 @query("WITH r AS (SELECT o_orderpriority AS p, min(o_orderdate) AS a, max(o_orderdate) AS z FROM orders GROUP BY 1), c AS (SELECT p, a, z, unnest(generate_series(a, z - INTERVAL 1 MICROSECOND, INTERVAL 600 DAY)) AS chunk_start FROM r) SELECT p, chunk_start, least(chunk_start + INTERVAL 600 DAY, z) AS chunk_end FROM c")

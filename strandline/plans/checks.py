@@ -163,10 +163,10 @@ def expected_session_times(spark, d):
     return checks.expected_times(s, "a", "z", 5)
 
 
-@query("WITH s AS (SELECT CASE WHEN p_size > 40 THEN lower(p_brand) ELSE p_brand || '.' || p_size END AS symbol, p_retailprice - 1000 AS price, p_size - 2 AS vol FROM part) SELECT symbol, 'duplicate_symbol' AS code, 'error' AS severity, concat('appears ', count(*)) AS message FROM s GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT symbol, 'symbol_not_uppercase', 'error', '' FROM s WHERE symbol <> upper(symbol) UNION ALL SELECT symbol, 'non_positive_adjusted_close', 'warning', '' FROM s WHERE price <= 0 UNION ALL SELECT symbol, 'negative_avgvol', 'warning', '' FROM s WHERE vol < 0")
+@query("WITH s AS (SELECT CASE WHEN p_size > 40 THEN lower(p_brand) ELSE p_brand || '.' || p_size END AS symbol, p_retailprice - 950 AS price, p_size - 2 AS vol FROM part) SELECT symbol, 'duplicate_symbol' AS code, 'error' AS severity, concat('appears ', count(*)) AS message FROM s GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT symbol, 'symbol_not_uppercase', 'error', '' FROM s WHERE symbol <> upper(symbol) UNION ALL SELECT symbol, 'non_positive_adjusted_close', 'warning', '' FROM s WHERE price <= 0 UNION ALL SELECT symbol, 'negative_avgvol', 'warning', '' FROM s WHERE vol < 0")
 def validate_universe(spark, d):
     p = table(spark, d, "part")
-    s = p.select(F.when(F.col("p_size") > 40, F.lower("p_brand")).otherwise(F.concat("p_brand", F.lit("."), "p_size")).alias("name"), (F.col("p_retailprice") - 1000).alias("price"), (F.col("p_size") - 2).alias("vol"))
+    s = p.select(F.when(F.col("p_size") > 40, F.lower("p_brand")).otherwise(F.concat("p_brand", F.lit("."), "p_size")).alias("name"), (F.col("p_retailprice") - 950).alias("price"), (F.col("p_size") - 2).alias("vol"))
     return checks.validate_universe(s, "name", "price", "vol")
 
 

@@ -175,14 +175,14 @@ def timing_null(spark, d):
 
 
 LADDER = "CASE WHEN data_errors > 0 OR leakage_errors > 0 THEN 'rejected_data_issue' WHEN selection_rejected THEN 'rejected_no_edge' WHEN trade_count < 20 THEN 'rejected_too_few_trades' WHEN gross > 0 AND net <= 0 AND cost_drag > 0 THEN 'rejected_costs_kill_edge' WHEN net <= 0 OR NOT benchmark_pass OR NOT null_pass THEN 'rejected_no_edge' WHEN starts_with(holding, 'rejected_') THEN holding WHEN profitable_split_pct < 0.6 THEN 'rejected_walkforward_failure' WHEN stability_score < 0.5 THEN 'rejected_unstable_parameters' WHEN max_drawdown < -0.25 THEN 'interesting_needs_more_tests' WHEN holding IN ('interesting_swing_needs_more_tests', 'candidate_intraday_test') THEN holding ELSE 'candidate_paper_test' END"
-RESULT = "WITH r AS (SELECT p_partkey, CAST(p_partkey % 37 = 0 AS INT) AS data_errors, CAST(p_partkey % 41 = 0 AS INT) AS leakage_errors, p_partkey % 29 = 0 AS selection_rejected, p_size + 10 AS trade_count, p_retailprice - 1000 AS gross, p_retailprice - 1200 AS net, 200.0 AS cost_drag, p_partkey % 7 <> 0 AS benchmark_pass, p_partkey % 11 <> 0 AS null_pass, CASE WHEN p_partkey % 13 = 0 THEN 'rejected_overnight_risk' WHEN p_partkey % 5 = 0 THEN 'candidate_intraday_test' END AS holding, (p_partkey % 10) / 10.0 AS profitable_split_pct, (p_partkey % 17) / 16.0 AS stability_score, -(p_partkey % 19) / 40.0 AS max_drawdown FROM part)"
+RESULT = "WITH r AS (SELECT p_partkey, CAST(p_partkey % 37 = 0 AS INT) AS data_errors, CAST(p_partkey % 41 = 0 AS INT) AS leakage_errors, p_partkey % 29 = 0 AS selection_rejected, p_size + 10 AS trade_count, p_retailprice - 920 AS gross, p_retailprice - 950 AS net, 200.0 AS cost_drag, p_partkey % 7 <> 0 AS benchmark_pass, p_partkey % 11 <> 0 AS null_pass, CASE WHEN p_partkey % 13 = 0 THEN 'rejected_overnight_risk' WHEN p_partkey % 5 = 0 THEN 'candidate_intraday_test' END AS holding, (p_partkey % 10) / 10.0 AS profitable_split_pct, (p_partkey % 17) / 16.0 AS stability_score, -(p_partkey % 19) / 40.0 AS max_drawdown FROM part)"
 
 
 @query(RESULT + f" SELECT p_partkey, {LADDER} AS classification FROM r")
 def classification(spark, d):
     k = F.col("p_partkey")
     r = table(spark, d, "part").select(
-        "p_partkey", (k % 37 == 0).cast("int").alias("data_errors"), (k % 41 == 0).cast("int").alias("leakage_errors"), (k % 29 == 0).alias("selection_rejected"), (F.col("p_size") + 10).alias("trade_count"), (F.col("p_retailprice") - 1000).alias("gross"), (F.col("p_retailprice") - 1200).alias("net"), F.lit(200.0).alias("cost_drag"),
+        "p_partkey", (k % 37 == 0).cast("int").alias("data_errors"), (k % 41 == 0).cast("int").alias("leakage_errors"), (k % 29 == 0).alias("selection_rejected"), (F.col("p_size") + 10).alias("trade_count"), (F.col("p_retailprice") - 920).alias("gross"), (F.col("p_retailprice") - 950).alias("net"), F.lit(200.0).alias("cost_drag"),
         (k % 7 != 0).alias("benchmark_pass"), (k % 11 != 0).alias("null_pass"), F.when(k % 13 == 0, "rejected_overnight_risk").when(k % 5 == 0, "candidate_intraday_test").alias("holding"), (k % 10 / 10).alias("profitable_split_pct"), (k % 17 / 16).alias("stability_score"), (-(k % 19) / 40).alias("max_drawdown"),
     )
     return r.select("p_partkey", research.classification().alias("classification"))
