@@ -495,4 +495,4 @@ def stream_bars(spark, d):
 
 # the other families register themselves
 
-from strandline.plans import access, checks, research, summaries  # noqa: E402, F401
+from strandline.plans import access, checks, outcomes, research, summaries  # noqa: E402, F401
