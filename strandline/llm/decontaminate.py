@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.shared import cut, small
-from strandline.llm.words import ALPHANUMERIC, U, Words, chunks, mix, tidy
+from strandline.llm.shared import cut, mapped, small
+from strandline.llm.words import ALPHANUMERIC, U, Words, chunks, mix
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -215,6 +215,18 @@ class Automaton:
         return out
 
 
+    def found(self, texts: pa.Array) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
+        """For each text its number of words, its merged spans and the items that hit it."""
+        counts, spans, items = [], [], []
+        for _, _, data, off in chunks(texts):
+            words = Words(data, off, ALPHANUMERIC, lower=True)
+            counts += words.counts.tolist()
+            for hit in self.scan(words):
+                spans.append(merged(hit[0]) if hit else [])
+                items.append(sorted({self.item_ids[i] for i in hit[1]} - {None}) if hit else [])
+        return counts, spans, items
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -255,18 +267,12 @@ def hit_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             auto = shared.value
             for batch in batches:
-                counts, spans, items = [], [], []
-                for _, _, data, off in chunks(batch.column(batch.num_columns - 1)):
-                    words = Words(data, off, ALPHANUMERIC, lower=True)
-                    counts += words.counts.tolist()
-                    for found in auto.scan(words):
-                        spans.append(merged(found[0]) if found else [])
-                        items.append(sorted({auto.item_ids[i] for i in found[1]} - {None}) if found else [])
+                counts, spans, items = auto.found(batch.column(batch.num_columns - 1))
                 spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS)
                 kept = batch.columns if "text" in names else batch.columns[:-1]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), spans, pa.array(items, pa.list_(pa.string()))], names=names)
 
-        return rows.mapInArrow(tidy(step), schema), shared
+        return mapped(rows, step, schema), shared
 
     if following is None:
         return scanned(df, block, schema)[0]
@@ -292,7 +298,7 @@ def hit_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             counts = pa.array(np.concatenate(counts) if counts else np.empty(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, spans, batch.column(3)], names=schema.names)
 
-    return joined.mapInArrow(tidy(settle), schema)
+    return mapped(joined, settle, schema)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -309,35 +315,52 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     )
 
 
-def without_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
+def without_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns of documents; hit spans are cut out of the texts (with the white space before them), and rows of which more than ``max_coverage`` of the words is hit go. Clean texts stay byte for byte; n_chars, if there, is counted anew where text was cut."""
     names = documents.columns
     key = "__strandline_row"
     others = [F.col(f"`{c}`").alias(c) for c in names if c != "text"] or [F.lit(0).alias("none")]
     packed = documents.select(F.struct(*others).alias("doc_id"), F.col("text"))
-    df = hit_spans(packed, benchmark, window)
+    blocks = blocks_of(benchmark, block_words)
+    block, more = next(blocks), next(blocks, None)
+    row = packed.schema["doc_id"].dataType
+
+    def cut_out(rows: pa.Array, text: pa.Array, counts: list[int], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        keep, new = [], []
+        for i, own in enumerate(spans):
+            keep.append(sum(b - a for a, b in own) <= max_coverage * counts[i])
+            if own:
+                data = np.frombuffer(text[i].as_py().encode(), np.uint8)
+                words = Words(data, np.array([0, len(data)]), ALPHANUMERIC, lower=True)
+                parts, at = [], 0
+                for a, b in own:
+                    parts.append(data[at : words.start[a]].tobytes().rstrip(b" "))
+                    at = int(words.end[b - 1])
+                new.append(b"".join([*parts, data[at:].tobytes()]).decode())
+        changed = pa.array([bool(x) for x in spans], pa.bool_())
+        if new:
+            text = pc.replace_with_mask(text, changed, pa.array(new, text.type))
+        return pa.RecordBatch.from_arrays([rows, text, changed, pa.array(keep, pa.bool_())], names=[key, "text", "changed", "keep"])
+
+    if more is None:
+        # one automaton: found and cut in one pass, so that a task has one Python worker
+        shared = documents.sparkSession.sparkContext.broadcast(Automaton(block, window))
+
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                counts, spans, _ = shared.value.found(batch.column(1))
+                yield cut_out(batch.column(0), batch.column(1), counts, spans)
 
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, keep, new = batch.column(1), [], []
-            spans, counts = batch.column(3).to_pylist(), batch.column(2).to_pylist()
-            for i, own in enumerate(spans):
-                keep.append(sum(x["end"] - x["start"] for x in own) <= max_coverage * counts[i])
-                if own:
-                    data = np.frombuffer(text[i].as_py().encode(), np.uint8)
-                    words = Words(data, np.array([0, len(data)]), ALPHANUMERIC, lower=True)
-                    parts, at = [], 0
-                    for x in own:
-                        parts.append(data[at : words.start[x["start"]]].tobytes().rstrip(b" "))
-                        at = int(words.end[x["end"] - 1])
-                    new.append(b"".join([*parts, data[at:].tobytes()]).decode())
-            changed = pa.array([bool(x) for x in spans], pa.bool_())
-            if new:
-                text = pc.replace_with_mask(text, changed, pa.array(new, text.type))
-            yield pa.RecordBatch.from_arrays([batch.column(0), text, changed, pa.array(keep, pa.bool_())], names=[key, "text", "changed", "keep"])
-
-    row = df.schema["doc_id"].dataType
-    out = df.mapInArrow(tidy(cut_out), _schema(row, key)).where("keep")
+        out = mapped(packed, once, _schema(row, key))
+    else:
+
+        def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spans = [[(x["start"], x["end"]) for x in own] for own in batch.column(3).to_pylist()]
+                yield cut_out(batch.column(0), batch.column(1), batch.column(2).to_pylist(), spans)
+
+        out = mapped(hit_spans(packed, benchmark, window, block_words), known, _schema(row, key))
+    out = out.where("keep")
     new = {"text": F.col("text"), "n_chars": F.when(F.col("changed"), F.length("text").cast(dict(documents.dtypes).get("n_chars", "long"))).otherwise(F.col(f"{key}.n_chars") if "n_chars" in names else F.lit(None))}
     return out.select(*[(new[c] if c in new else F.col(f"{key}.`{c}`")).alias(c) for c in names])
 

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.quality_model import remainder
-from strandline.llm.shared import cut
-from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, mix, signed, tidy
+from strandline.llm.shared import cut, mapped
+from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, mix, signed
 
 ORDER, PART_RUNS, CHUNK_TEXT, MAX_HEAD, FOLDS = 4, 500_000, 8_000_000, 500_000, 10
 END = 0xFF
@@ -84,7 +84,7 @@ def _count(documents: DataFrame) -> DataFrame:
         if keys:
             yield out(*_summed(np.concatenate(keys), np.concatenate(counts)))
 
-    return documents.select("text").mapInArrow(step, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+    return mapped(documents.select("text"), step, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def _runs(texts: DataFrame, order: int) -> DataFrame:
@@ -122,7 +122,7 @@ def _runs(texts: DataFrame, order: int) -> DataFrame:
         if keys:
             yield out()
 
-    return texts.select("chunk", "learn", "text").mapInArrow(tidy(step), "chunk bigint, key bigint, c bigint")
+    return mapped(texts.select("chunk", "learn", "text"), step, "chunk bigint, key bigint, c bigint")
 
 
 def _head(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +291,7 @@ def scored(documents: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(together(sizes, np.int64))]), pa.int32()), pa.array(signed(together(rest, U))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(together(own, np.int64)), pa.array(together(n, np.int64)), pa.array(together(known, np.int64)), pa.array(together(base, float)), lists], names=["doc_id", "text", "tk", "learn", "chunk", "n_tokens", "known", "base", "rest"])
 
-    texts = cut(docs.mapInArrow(tidy(step), f"doc_id {kind}, text string, tk bigint, learn boolean, chunk bigint, n_tokens bigint, known bigint, base double, rest array<bigint>"), "texts")
+    texts = cut(mapped(docs, step, f"doc_id {kind}, text string, tk bigint, learn boolean, chunk bigint, n_tokens bigint, known bigint, base double, rest array<bigint>"), "texts")
     runs = cut(_runs(texts, ORDER), "runs")
     values = run_values(cut(runs.groupBy("key").agg(F.sum("c").alias("c")), "totals"))
     answers = runs.select("chunk", "key").join(values, "key").select("chunk", "key", "value")

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import cut, small, with_group
-from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, fold, mix, signed, tidy, window_hashes
+from strandline.llm.shared import cut, mapped, small, with_group
+from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, fold, mix, signed, window_hashes
 
 SHINGLE, CHUNKS, WIDTH, ERRORS, BITS = 5, 10, 4, 1, 16
 PERCENT, SALTS, PARTS = 80, (16,), 128
@@ -95,7 +95,7 @@ def _signatures(documents: DataFrame, size: int) -> DataFrame:
             packed = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * CHUNKS * WIDTH, pa.int32()), pa.array(np.ascontiguousarray(sig).ravel().view(np.int16)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(signed(k[:, 0])), pa.array(signed(k[:, 1])), packed, pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * per, pa.int32()), pa.array(flat))], names=["doc_id", "n", "k1", "k2", "signature", "keys"])
 
-    return documents.mapInArrow(tidy(step), f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, signature array<smallint>, keys array<bigint>")
+    return mapped(documents, step, f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, signature array<smallint>, keys array<bigint>")
 
 
 def _sets(documents: DataFrame, size: int) -> DataFrame:
@@ -110,7 +110,7 @@ def _sets(documents: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, hi - lo), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(signed(flat)))], names=["doc_id", "shingles"])
                 at += hi - lo
 
-    return documents.mapInArrow(tidy(step), f"doc_id {kind}, shingles array<bigint>")
+    return mapped(documents, step, f"doc_id {kind}, shingles array<bigint>")
 
 
 def _near(a: str, b: str) -> Column:
@@ -153,7 +153,7 @@ def _counted(sets: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * PARTS, pa.int32()), pa.array(counts.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["rep", "h"])
 
-    return sets.join(alone, "doc_id", "left").select("doc_id", "shingles", "parts", "owns").mapInArrow(tidy(step), f"rep {kind}, h array<int>")
+    return mapped(sets.join(alone, "doc_id", "left").select("doc_id", "shingles", "parts", "owns"), step, f"rep {kind}, h array<int>")
 
 
 def _total(counts: str | Column) -> Column:

@@ -22,12 +22,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.words import BLANK_SEPARATED, Words, chunks, tidy
+from strandline.llm.shared import mapped
+from strandline.llm.words import BLANK_SEPARATED, Words, chunks
 
 WINDOW, SEPARATOR, GROUP_PIECES, CACHE_WORDS, CACHE_PIECES = 4096, 2, 16_384, 500_000, 100_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -171,7 +171,7 @@ def pieces(documents: DataFrame, tokenizer: str, window: int = WINDOW, separator
             table = np.array(rows, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(np.ascontiguousarray(x)) for x in table.T)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(step), PIECES)
+    return mapped(documents.select(F.col("doc_id").cast("long"), "text"), step, PIECES)
 
 
 def combinations(lengths: np.ndarray, counts: np.ndarray, window: int, depth: int = 4, most: int = 6000) -> list[tuple[int, ...]]:
@@ -287,10 +287,11 @@ def packed(documents: DataFrame, tokenizer: str | None = None, window: int = WIN
     groups = max(1, round((known["rows"] + known["bytes"] / (3 * window)) / GROUP_PIECES))
     key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
 
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
-        sequence, offset = plan(group["length"].to_numpy(np.int64), window)
-        return group.assign(sequence_id=group.pop("group") * (1 << 32) + sequence, offset=offset)
+    def place(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("length", "doc_id", "start", "ids_crc32")])
+        sequence, offset = plan(np.asarray(table.column("length")), window)
+        first = np.asarray(table.column("group"), np.int64) << 32
+        return table.drop_columns(["group"]).append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset, pa.int64()))
 
     rows = pieces(documents, tokenizer or default_tokenizer(), window, separator).withColumn("group", key)
-    return rows.groupBy("group").applyInPandas(place, f"{PIECES}, sequence_id bigint, offset bigint")
+    return rows.groupBy("group").applyInArrow(place, f"{PIECES}, sequence_id bigint, offset bigint")

@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strandline.llm.shared import mapped
+
 #: HTML elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -236,4 +238,4 @@ def extracted(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return df.mapInArrow(step, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    return mapped(df, step, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.shared import mapped
 from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, mix, powers
 
 BUCKETS, DIMENSIONS, GRAMS, SAMPLE_ROWS, FOLDS = 1 << 17, 8, (3, 4, 5), 3_000, 5
@@ -151,7 +152,7 @@ def scored(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 out.append(1 / (1 + np.exp(-logit)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.empty(0))], names=["doc_id", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(step, f"doc_id {dict(documents.dtypes)['doc_id']}, score double")
+    return mapped(documents.select("doc_id", "text"), step, f"doc_id {dict(documents.dtypes)['doc_id']}, score double")
 
 
 def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -28,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandline.llm.shared import cut, fits, small
-from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, fold, mix, tidy, window_hashes
+from strandline.llm.shared import cut, fits, mapped, small
+from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, fold, mix, window_hashes
 
 #: Rules and their grids of cutoffs: a document is rejected if its score is above the cutoff.
 RULES = {
@@ -101,18 +102,20 @@ def _line_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return fold(data[inside].astype(U), np.append(kept[starts], kept[ends[-1]]), 11)
 
 
-def counted(documents: DataFrame, extra: list[str]) -> DataFrame:
-    """The extra columns and COUNTS for each row of documents."""
+def counted(documents: DataFrame, extra: list[str], text: bool = False) -> DataFrame:
+    """The extra columns, the text if it is asked for, and COUNTS for each row of documents."""
     df = documents.select("text", *extra)
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[1:]), *(f"{c} bigint" for c in COUNTS)])
+    first = 0 if text else 1
+    fields = T.StructType([*df.schema.fields[first:], *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    names = fields.names
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [count(Words(data, off, BLANK_SEPARATED)) for _, _, data, off in chunks(batch.column(0))]
             rows = np.concatenate(rows) if rows else np.zeros((0, len(COUNTS)), np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(np.ascontiguousarray(x)) for x in rows.T)], names=[*extra, *COUNTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], *(pa.array(np.ascontiguousarray(x)) for x in rows.T)], names=names)
 
-    return df.mapInArrow(tidy(step), fields)
+    return mapped(df, step, fields)
 
 
 def scores() -> dict[str, F.Column]:
@@ -200,13 +203,13 @@ def calibrate(documents: DataFrame, labels: DataFrame, stratum: str = "lang", ma
     return cut(seen.groupBy("stratum").applyInArrow(step, "stratum string, cutoffs array<int>"), "cutoffs")
 
 
-def judged(documents: DataFrame, labels: DataFrame, extra: list[str], stratum: str = "lang") -> DataFrame:
-    """The extra columns, COUNTS, base_failed and kept for each row of documents."""
+def judged(documents: DataFrame, labels: DataFrame, extra: list[str], stratum: str = "lang", text: bool = False) -> DataFrame:
+    """The extra columns, the text if it is asked for, COUNTS, base_failed and kept for each row of documents."""
     cutoffs = small(calibrate(documents, labels, stratum).select(F.col("stratum").alias("__of"), F.col("cutoffs").alias("__cutoffs")))
-    rows = counted(documents.withColumn("__stratum", F.col(stratum).cast("string")), [*extra, "__stratum"])
+    rows = counted(documents.withColumn("__stratum", F.col(stratum).cast("string")), [*extra, "__stratum"], text)
     rows = rows.join(cutoffs, F.col("__stratum").eqNullSafe(F.col("__of")), "left")
     rejected = F.exists(F.zip_with(F.array(*levels()), "__cutoffs", lambda a, b: a > b), lambda x: x)
-    return rows.select(*extra, *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce(rejected, F.lit(False))).alias("kept"))
+    return rows.select(*extra, *(["text"] if text else []), *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce(rejected, F.lit(False))).alias("kept"))
 
 
 def verdicts(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -217,5 +220,8 @@ def verdicts(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents that pass, with all their columns."""
     names = documents.columns
-    packed = documents.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in names]).alias("__row"), "text", "lang", "doc_id")
-    return judged(packed, labels, ["__row"]).where("kept").select("__row.*")
+    # the text goes through Python once, beside the other columns
+    others = [F.col(f"`{c}`").alias(c) for c in names if c != "text"] or [F.lit(0).alias("none")]
+    packed = documents.select(F.struct(*others).alias("__row"), "text", "lang", "doc_id")
+    kept = judged(packed, labels, ["__row"], text=True).where("kept")
+    return kept.select(*[(F.col("text") if c == "text" else F.col(f"__row.`{c}`")).alias(c) for c in names])

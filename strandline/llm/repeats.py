@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import cut, small, with_group
+from strandline.llm.shared import cut, mapped, small, with_group
 from strandline.llm.words import BLANK_SEPARATED, U, Words, chunks, fold, mix, signed, window_hashes
 
 WINDOW, ANCHOR = 50, 10
@@ -86,7 +86,7 @@ def _anchors(documents: DataFrame, window: int, anchor: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(signed(keys[:, 0])), pa.array(signed(keys[:, 1])), pa.array(shas, pa.string()), lists], names=["doc_id", "rk", "n_words", "k1", "k2", "whole_sha256", "anchors"])
 
-    return documents.mapInArrow(step, f"doc_id {kind}, rk bigint, n_words bigint, k1 bigint, k2 bigint, whole_sha256 string, anchors array<bigint>")
+    return mapped(documents, step, f"doc_id {kind}, rk bigint, n_words bigint, k1 bigint, k2 bigint, whole_sha256 string, anchors array<bigint>")
 
 
 def _sha(words: Words, a: int, b: int, gone: np.ndarray | None = None) -> str:
@@ -141,7 +141,7 @@ def _windows(documents: DataFrame, shared: DataFrame, window: int, anchor: int)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), batch.column(3).take(pa.array(rows, pa.int64())), pa.array(firsts, pa.list_(pa.int64())), pa.array(signed(np.array(digests, U))), hashes], names=["doc_id", "rk", "firsts", "digest", "hashes"])
 
     joined = documents.join(shared, ["doc_id", "rk"]).select("doc_id", "text", "anchors", "rk")
-    return joined.mapInArrow(step, f"doc_id {kind}, rk bigint, firsts array<bigint>, digest bigint, hashes array<bigint>")
+    return mapped(joined, step, f"doc_id {kind}, rk bigint, firsts array<bigint>, digest bigint, hashes array<bigint>")
 
 
 def deduplicated(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -196,7 +196,7 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHO
                     row += 1
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    changed = affected.join(gone, row).select("doc_id", "text", "ranges").mapInArrow(step, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
+    changed = mapped(affected.join(gone, row).select("doc_id", "text", "ranges"), step, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
     empty = hashlib.sha256(b"").hexdigest()
     return (
         known.where("not copy").join(small(gone.select(*row)), row, "left_anti").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"))

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.llm.words import tidy
+
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+#: Rows of an Arrow batch: ten thousand, Spark's own number, are some 100 MB of texts or shingles on both sides of each worker.
+BATCH_ROWS = 1_000
 #: Bytes that a broadcast table may have (as rows in memory, beside their hash table); beyond it the join is left to a shuffle.
 BROADCAST_BYTES = 64 << 20
 #: A key is hot if it has more rows than this share of the table, and never below HOT_ROWS; so at most HOT_KEYS keys are hot.
@@ -33,6 +40,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mapped(rows: DataFrame, step: Step, schema: str | T.StructType) -> DataFrame:
+    """rows through a Python step in Arrow batches of at most ``BATCH_ROWS`` rows, whole texts each: what a task holds on either
+    side of the pipe is bounded by that. Spark takes the number of rows from the session, where a smaller one is left as it is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return rows.mapInArrow(tidy(step), schema)
+
+
 def fits(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a table, one that ``cut`` has written or that is as cheap to read, is small enough to send to every executor."""
     wide = [F.octet_length(f.name) if isinstance(f.dataType, T.StringType) else 8 * F.size(f.name) for f in table.schema if isinstance(f.dataType, T.StringType | T.ArrayType)]
