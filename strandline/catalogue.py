@@ -495,4 +495,4 @@ def stream_bars(spark, d):
 
 # the other families register themselves
 
-from strandline.plans import access, checks, micro, outcomes, research, structure, summaries  # noqa: E402, F401
+from strandline.plans import access, checks, micro, outcomes, panels, research, structure, summaries, trajectories  # noqa: E402, F401

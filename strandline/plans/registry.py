@@ -22,6 +22,9 @@ RUNS = H + f""", s AS (SELECT *, CAST(sign(close - open) AS INT) AS state, lag(b
  r0 AS (SELECT symbol, session, run, state, min(bar_index) AS s, max(bar_index) AS e, count(*) AS duration FROM f GROUP BY ALL),
  r AS (SELECT *, CASE WHEN lead(s) OVER (PARTITION BY symbol, session ORDER BY run) IS NULL THEN 'session_end' WHEN lead(s) OVER (PARTITION BY symbol, session ORDER BY run) - e > 1 THEN 'gap' ELSE 'exit' END AS ending FROM r0)"""
 
+#: Bars that begin to rise inside their session.
+EDGE_SQL = H + f", e AS (SELECT symbol, session, bar_index, close FROM (SELECT *, coalesce(lag(close > open) {W}), false) AS l FROM b) WHERE close > open AND NOT l)"
+
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
