@@ -495,4 +495,4 @@ def stream_bars(spark, d):
 
 # the other families register themselves
 
-from strandline.plans import access, chains, checks, inference, micro, models, outcomes, panels, research, structure, summaries, trajectories  # noqa: E402, F401
+from strandline.plans import access, chains, checks, inference, live, micro, models, outcomes, panels, research, structure, summaries, trajectories  # noqa: E402, F401
