@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontaminate, language_model, near_dup, packing, page_text, quality_model, quality_rules, repeats, secrets, sharding
+from strandline.llm import decontaminate, language_model, near_dup, oracle, packing, page_text, quality_model, quality_rules, repeats, secrets, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: SQL that DuckDB can run on the same tables; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": oracle.OP3, "op6_decontamination": oracle.OP6, "op10_substring_dedup": oracle.OP10}
