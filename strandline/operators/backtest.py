@@ -86,14 +86,3 @@ def walk_forward(bars: DataFrame, grid: list[tuple[int, int]], train: int = 250,
     sums = rows.groupBy("symbol", "split").agg(*[x for i in range(len(grid)) for x in (F.round(F.sum(F.when(at < train, F.col(f"__net{i}")).otherwise(0.0)), 9).alias(f"__a{i}"), F.sum(F.when(at >= train + embargo, F.col(f"__net{i}")).otherwise(0.0)).alias(f"__b{i}"))])
     best = F.array_max(F.array(*[F.struct(F.col(f"__a{i}").alias("train_net"), F.lit(-i).alias("order"), F.col(f"__b{i}").alias("test_net")) for i in range(len(grid))]))
     return sums.withColumn("b", best).select("symbol", "split", (-F.col("b.order")).alias("param"), six(F.col("b.train_net")).alias("train_net"), six(F.col("b.test_net")).alias("test_net"))
-
-
-def circular_shift_null(returns: DataFrame, shifts: tuple[int, ...] = (7, 31, 101, 211)) -> DataFrame:
-    """Net of positions moved around by fixed steps against the real one: rank-joined, no pairs."""
-    r = returns.withColumn("row", F.row_number().over(ordered(BY, ORDER)) - 1)
-    n = r.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    moved = r.join(F.broadcast(n), "symbol").select("symbol", "position", "row", "n", F.explode(F.array(*[F.lit(x) for x in shifts])).alias("shift"))
-    moved = moved.select("symbol", "shift", F.pmod(F.col("row") + F.col("shift"), F.col("n")).alias("row"), "position")
-    both = r.select("symbol", "row", "move").join(moved, ["symbol", "row"])
-    held = F.lag("position").over(ordered(["symbol", "shift"], ["row"]))
-    return both.select("symbol", "shift", (F.coalesce(held, F.lit(0.0)) * F.col("move")).alias("g")).groupBy("symbol", "shift").agg(six(F.sum("g")).alias("null_gross"))

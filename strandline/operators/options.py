@@ -29,10 +29,6 @@ def vertical_spreads(chain: DataFrame, settle: float) -> DataFrame:
     return c.select("root", "strike", six(debit).alias("debit"), six(payoff - debit).alias("pnl"))
 
 
-def expiry_bucket(days: Column) -> Column:
-    return F.when(days < 0, "expired").when(days <= 7, "week").when(days <= 35, "month").when(days <= 100, "quarter").otherwise("far")
-
-
 def quote_reason(bid: Column, ask: Column, most_spread: float = 0.5) -> Column:
     """The first rule that a quote fails."""
     mid = (bid + ask) / 2

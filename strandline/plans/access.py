@@ -6,7 +6,6 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-
 from strandline.plans.registry import H, WD, D, query, table
 from strandline.sources import bars, market_data, sinks, sql_gate, vendor
 
@@ -104,6 +103,62 @@ def event_store(spark, d):
     return store.read().groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.lit(writes).alias("writes"), F.lit(store.verify(name) and name == again).alias("sound"))
 
 
+@query("SELECT c_mktsegment AS kind, count(*) AS n, 1 AS dropped, 2 AS quarantined FROM customer WHERE c_acctbal < 0 GROUP BY 1")
+def recovered_store(spark, d):
+    """Three writes, of which one lost its manifest and one some rows, and a staged one that never finished: only the whole one is left."""
+    store, e = _store(spark, d, "crash")
+    sound = store.write(e.where("c_acctbal < 0"))
+    lost, torn = store.write(e.where("c_acctbal >= 5000")), store.write(e.where("c_acctbal between 0 and 4999"))
+    sinks.remove(spark, f"{store.base}/manifest/{lost}.json")
+    sinks.remove(spark, f"{store.base}/data/{torn}/{next(n for n in sinks.children(spark, f'{store.base}/data/{torn}') if '=' in n)}")
+    e.where("c_acctbal < 0").write.parquet(f"{store.base}/staged/{sound}-half")
+    told = store.recover()
+    return store.read().groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.lit(len(told["dropped"])).alias("dropped"), F.lit(len(told["quarantined"])).alias("quarantined"))
+
+
+@query(D + " SELECT CAST(session AS TIMESTAMP) AS timestamp, symbol, open, high, low, CASE WHEN volume > 1 THEN close END AS close, volume, 'USD' AS currency FROM b WHERE symbol = '2-HIGH'")
+def imported_csv(spark, d):
+    """Bars written as CSV under other names and with words for numbers, then imported."""
+    import uuid
+
+    from strandline.sources.store import checkpoint_root
+
+    b = bars.daily(spark, d).where("symbol = '2-HIGH'")
+    path = f"{checkpoint_root(spark)}/csv-{uuid.uuid4().hex}"
+    b.select(F.concat("session", F.lit("T00:00:00Z")).alias("Date Time"), F.col("open").alias("O"), F.col("high").alias("H"), F.col("low").alias("L"), F.when(F.col("volume") > 1, F.col("close").cast("string")).otherwise("n/a").alias("Close"), F.col("volume").alias("Vol")).write.csv(path, header=True)
+    mapping = market_data.parse_column_mapping("timestamp=Date Time,open=O,high=H,low=L,volume=Vol")
+    return market_data.import_csv(spark, path, "2-HIGH", "orders", "1d", "index", mapping=mapping).select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "symbol", "open", "high", "low", "close", "volume", "currency")
+
+
+def _vendor(spark, d, name, time):
+    """Daily bars as one JSON array a symbol, each bar twice: the first of a pair has another close."""
+    b = bars.daily(spark, d)
+    bar = lambda k, close: F.struct("session", F.lit(k).alias("k"), F.struct(time.alias(name), "open", "high", "low", close.alias("close"), close.alias("adjusted_close"), "volume").alias("r"))
+    g = b.select("symbol", F.explode(F.array(bar(0, F.col("close") + 1), bar(1, F.col("close")))).alias("x")).groupBy("symbol").agg(F.array_sort(F.collect_list("x")).alias("l"))
+    return g.select("symbol", F.to_json(F.transform("l", lambda x: x["r"])).alias("payload"))
+
+
+@query(D + " SELECT symbol, CAST(session AS TIMESTAMP) AS timestamp, close, adjusted_close, volume FROM (SELECT *, close AS adjusted_close FROM b)")
+def vendor_daily(spark, d):
+    out = market_data.normalize_response(_vendor(spark, d, "date", F.col("session")))
+    return out.select("symbol", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "close", "adjusted_close", "volume")
+
+
+@query(D + " SELECT symbol, CAST(session AS TIMESTAMP) AS timestamp, high, close FROM b")
+def vendor_intraday(spark, d):
+    out = market_data.normalize_response(_vendor(spark, d, "timestamp", F.unix_timestamp(F.to_timestamp("session"))))
+    return out.select("symbol", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "high", "close")
+
+
+@query("SELECT o_orderkey, CASE WHEN bid IS NULL THEN 'missing' WHEN bid <= 0 THEN 'non_positive' WHEN bid > ask THEN 'crossed' WHEN (ask - bid) / ((bid + ask) / 2) > 0.5 THEN 'wide' END AS reason FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 11 + 0.0::DOUBLE END AS bid, 2 + o_orderkey % 13 + 0.0::DOUBLE AS ask FROM orders)")
+def quote_reason(spark, d):
+    from strandline.operators import options
+
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select(k, F.when(k % 7 != 0, (k % 11).cast("double")).alias("bid"), (2 + k % 13).cast("double").alias("ask"))
+    return o.select("o_orderkey", options.quote_reason(F.col("bid"), F.col("ask")).alias("reason"))
+
+
 @query("SELECT o_orderpriority AS symbol, count(*) AS n, max(o_totalprice) AS price FROM orders GROUP BY 1")
 def deterministic_files(spark, d):
     import uuid
