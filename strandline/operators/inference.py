@@ -144,8 +144,8 @@ def path_counts(states: DataFrame, by: list[str], order: str, state: str, candid
     return out.select("path", F.coalesce("count", F.lit(0)).alias("count"), six(F.coalesce("starts", F.lit(0)) * F.when(F.col("__least") == 0, 0.0).otherwise(F.col("__p"))).alias("expected"))
 
 
-def simulated_counts(sessions: DataFrame, key: list[str], length: str, first: Mapping[int, float], moves: Mapping[int, Mapping[int, float]], path: Sequence[int], draws: int) -> DataFrame:
-    """Counts of a path in sessions drawn from a first-order chain: each session's states are folded from hashes, one count a draw."""
+def simulated(sessions: DataFrame, key: list[str], length: str, first: Mapping[int, float], moves: Mapping[int, Mapping[int, float]], draws: int) -> DataFrame:
+    """Sessions of states drawn from a first-order chain: each is folded from hashes of its key, draw and place; columns draw and chain."""
     def pick(p: Mapping[int, float], u: Column) -> Column:
         out, at, states = None, 0.0, sorted(p)
         for s in states[:-1]:
@@ -156,11 +156,30 @@ def simulated_counts(sessions: DataFrame, key: list[str], length: str, first: Ma
     d = sessions.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     u = lambda i: uniform(*[F.col(c) for c in key], F.col("draw"), i)
     step = lambda last, i: reduce(lambda e, s: F.when(last == s, pick(moves[s], u(i))).otherwise(e), sorted(moves), F.lit(None).cast("int"))
-    chain = F.aggregate(F.sequence(F.lit(1), F.col(length) - 1), F.array(pick(first, u(F.lit(0)))), lambda a, i: F.concat(a, F.array(step(F.element_at(a, -1), i))))
-    d = d.withColumn("__c", F.when(F.col(length) > 1, chain).otherwise(F.array(pick(first, u(F.lit(0))))))
+    begin = F.array(pick(first, u(F.lit(0))))
+    chain = F.aggregate(F.sequence(F.lit(1), F.col(length) - 1), begin, lambda a, i: F.concat(a, F.array(step(F.element_at(a, -1), i))))
+    return d.withColumn("chain", F.when(F.col(length) > 1, chain).otherwise(begin))
+
+
+def _places(path: Sequence[int], length: Column) -> Column:
+    """Where a path starts in a drawn chain, no further than its first states."""
     want = F.array(*[F.lit(s) for s in path])
-    found = F.when(F.size("__c") >= len(path), F.size(F.filter(F.sequence(F.lit(1), F.size("__c") - len(path) + 1), lambda i: F.slice("__c", i, len(path)) == want))).otherwise(0)
-    return d.groupBy("draw").agg(F.sum(found).alias("count"))
+    last = F.least(F.size("chain"), length) - len(path) + 1
+    return F.when(last >= 1, F.filter(F.sequence(F.lit(1), last), lambda i: F.slice("chain", i, len(path)) == want)).otherwise(F.array().cast("array<int>"))
+
+
+def simulated_counts(sessions: DataFrame, key: list[str], length: str, first: Mapping[int, float], moves: Mapping[int, Mapping[int, float]], path: Sequence[int], draws: int) -> DataFrame:
+    """Counts of a path in drawn sessions, one a draw."""
+    d = simulated(sessions, key, length, first, moves, draws)
+    return d.groupBy("draw").agg(F.sum(F.size(_places(path, F.size("chain")))).alias("count"))
+
+
+def simulated_first_events(sessions: DataFrame, key: list[str], length: str, first: Mapping[int, float], moves: Mapping[int, Mapping[int, float]], candidates: Mapping[str, Sequence[int]], horizon: int, draws: int) -> DataFrame:
+    """In how many drawn sessions each candidate path is the first to be complete within a horizon (at a tie the first by name), one row a draw and candidate, and `none`."""
+    d = simulated(sessions, key, length, first, moves, draws)
+    ends = [F.struct((F.array_min(_places(p, F.lit(horizon))) + len(p) - 1).alias("at"), F.lit(n).alias("name")) for n, p in sorted(candidates.items())]
+    done = F.array_min(F.filter(F.array(*ends), lambda x: x["at"].isNotNull()))
+    return d.groupBy("draw", F.coalesce(done["name"], F.lit("none")).alias("first")).agg(F.count(F.lit(1)).alias("sessions"))
 
 
 def random_same_count(rows: DataFrame, by: list[str], identity: str, kept: Column, value: str, draws: int) -> DataFrame:
@@ -283,6 +302,26 @@ def monthly_walk_forward(rows: DataFrame, month: str, feature: str, value: str,
     return g.groupBy(month).agg(F.sum("n").alias("events"), F.sum(F.when(F.col("__in"), F.col("n")).otherwise(0)).alias("traded"), six(F.sum(F.when(F.col("__in"), F.col("s")))).alias("net"))
 
 
+def monthly_rule_choice(rows: DataFrame, month: str, rule: str, value: str, least: int) -> DataFrame:
+    """Each month replays the rule with the best mean over all months before (at a tie the first by name), if any has the support: sums a month and rule, then running sums."""
+    g = rows.groupBy(month, rule).agg(F.count(value).alias("n"), F.sum(value).alias("s"))
+    months, rules = g.select(month).distinct(), g.select(rule).distinct()
+    # a rule without a row in a month keeps its past: the grid is as large as the calendar times the rules
+    grid = months.withColumn("__one", F.lit(1)).join(F.broadcast(rules.withColumn("__one", F.lit(1))), "__one").drop("__one").join(g, [month, rule], "left")
+    w = before([rule], [month])
+    grid = grid.withColumns({"__n": F.coalesce(F.sum("n").over(w), F.lit(0)), "__s": F.sum("s").over(w)})
+    ranked = grid.where((F.col("__n") >= least) & F.col("__s").isNotNull()).groupBy(month).agg(F.min(F.struct((-F.round(F.col("__s") / F.col("__n"), 9)).alias("m"), F.col(rule).alias("rule"), F.coalesce("n", F.lit(0)).alias("n"), F.col("s").alias("s"))).alias("b"))
+    return months.join(ranked, month, "left").select(month, F.col("b.rule").alias("rule"), F.coalesce("b.n", F.lit(0)).alias("trades"), six("b.s").alias("net"))
+
+
+def prequential_hazards(rows: DataFrame, family: list[str], session: str, cause: str, causes: Sequence[str], prior: float) -> DataFrame:
+    """Online hazards of competing causes: before each session of a family, each cause's count so far over the sessions so far, with a prior for each; a session with no cause counts as at risk only."""
+    w = before(family, [session])
+    at_risk = F.count(F.lit(1)).over(w)
+    rates = [six((F.coalesce(F.sum((F.col(cause) == c).cast("int")).over(w), F.lit(0)) + prior) / (at_risk + prior * (len(causes) + 1))).alias(f"hazard_{c}") for c in causes]
+    return rows.select(*family, session, at_risk.alias("at_risk"), *rates)
+
+
 def grouped_importance(rows: DataFrame, slate: list[str], identity: str, groups: Mapping[str, list[str]], score: Column, label: str, seed: int) -> DataFrame:
     """By how much the Brier score of a frozen model worsens when a group of its features is handed round inside the slates."""
     brier = lambda df, n: df.agg(F.avg(F.pow(score - F.col(label), 2)).alias(n))

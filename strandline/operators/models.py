@@ -113,6 +113,16 @@ def jensen_shannon(a: Sequence[Column], b: Sequence[Column]) -> Column:
     return F.sqrt(F.greatest(half, F.lit(0.0)))
 
 
+def posterior_velocity(rows: DataFrame, by: list[str], order: str, probabilities: Sequence[str]) -> DataFrame:
+    """How far a posterior moved since the row before (Jensen-Shannon), and how its entropy changed; null on a first row."""
+    w = ordered(by, [order])
+    now, last = [F.col(p) for p in probabilities], [F.lag(p).over(w) for p in probabilities]
+    r = rows.withColumns({f"__{p}": x for p, x in zip(probabilities, last, strict=True)})
+    old = [F.col(f"__{p}") for p in probabilities]
+    known = old[0].isNotNull()
+    return r.select(*by, order, six(F.when(known, jensen_shannon(now, old))).alias("velocity"), six(F.when(known, entropy(now) - entropy(old))).alias("entropy_change"))
+
+
 def edge_summary(edges: DataFrame, base: str, alpha: float = 1.0, beta: float = 9.0, strength: float = 20.0, clip: float = 1.5, least: int = 10, cells: int = 2000) -> DataFrame:
     """Edges of a rotation graph (source, event, destination, support, activations, base rate): rate with a prior, lift over the base, the lift shrunk by support, and the central 95 % of the rate's posterior on a grid of cells. A family's edge to itself counts nothing."""
     same = F.col("source") == F.col("destination")

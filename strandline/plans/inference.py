@@ -117,10 +117,12 @@ FIRST = {0: 0.5, 1: 0.3, 2: 0.2}
 MOVES = {0: {0: 0.2, 1: 0.5, 2: 0.3}, 1: {0: 0.6, 1: 0.1, 2: 0.3}, 2: {0: 0.3, 1: 0.3, 2: 0.4}}
 
 
-@query(E + f""", n AS (SELECT kind, session, least(count(*), 30) AS n FROM e GROUP BY 1, 2), c AS (SELECT * FROM (VALUES (0, 0.2::DOUBLE, 0.7::DOUBLE), (1, 0.6::DOUBLE, 0.7::DOUBLE), (2, 0.3::DOUBLE, 0.6::DOUBLE)) AS c(s, c0, c1)),
+SIM = E + f""", n AS (SELECT kind, session, least(count(*), 30) AS n FROM e GROUP BY 1, 2), c AS (SELECT * FROM (VALUES (0, 0.2::DOUBLE, 0.7::DOUBLE), (1, 0.6::DOUBLE, 0.7::DOUBLE), (2, 0.3::DOUBLE, 0.6::DOUBLE)) AS c(s, c0, c1)),
  u AS (SELECT kind, session, n, draw, i, {draw('kind', 'session', 'draw', 'i')} / {U} AS u FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT *, unnest(range(3)) AS draw FROM n))),
- z AS (SELECT kind, session, draw, list_reduce(list(CASE WHEN i = 0 THEN [CASE WHEN u < 0.5 THEN 0 WHEN u < 0.8 THEN 1 ELSE 2 END * 1.0] ELSE [u] END ORDER BY i), lambda a, b: list_append(a, CASE a[-1] WHEN 0 THEN CASE WHEN b[1] < 0.2 THEN 0.0 WHEN b[1] < 0.7 THEN 1.0 ELSE 2.0 END WHEN 1 THEN CASE WHEN b[1] < 0.6 THEN 0.0 WHEN b[1] < 0.7 THEN 1.0 ELSE 2.0 END ELSE CASE WHEN b[1] < 0.3 THEN 0.0 WHEN b[1] < 0.6 THEN 1.0 ELSE 2.0 END END)) AS l FROM u GROUP BY 1, 2, 3)
- SELECT draw, CAST(sum(len(list_filter(range(1, len(l) - 1), lambda i: l[i] = 0 AND l[i + 1] = 1 AND l[i + 2] = 0))) AS BIGINT) AS count FROM z GROUP BY 1""")
+ z AS (SELECT kind, session, draw, list_reduce(list(CASE WHEN i = 0 THEN [CASE WHEN u < 0.5 THEN 0 WHEN u < 0.8 THEN 1 ELSE 2 END * 1.0] ELSE [u] END ORDER BY i), lambda a, b: list_append(a, CASE a[-1] WHEN 0 THEN CASE WHEN b[1] < 0.2 THEN 0.0 WHEN b[1] < 0.7 THEN 1.0 ELSE 2.0 END WHEN 1 THEN CASE WHEN b[1] < 0.6 THEN 0.0 WHEN b[1] < 0.7 THEN 1.0 ELSE 2.0 END ELSE CASE WHEN b[1] < 0.3 THEN 0.0 WHEN b[1] < 0.6 THEN 1.0 ELSE 2.0 END END)) AS l FROM u GROUP BY 1, 2, 3)"""
+
+
+@query(SIM + " SELECT draw, CAST(sum(len(list_filter(range(1, len(l) - 1), lambda i: l[i] = 0 AND l[i + 1] = 1 AND l[i + 2] = 0))) AS BIGINT) AS count FROM z GROUP BY 1")
 def simulated_counts(spark, d):
     n = frame(spark, d).groupBy("kind", "session").agg(F.least(F.count(F.lit(1)), F.lit(30)).cast("int").alias("n"))
     return inference.simulated_counts(n, ["kind", "session"], "n", FIRST, MOVES, [0, 1, 0], 3)
@@ -205,3 +207,24 @@ def monthly_walk_forward(spark, d):
 def grouped_importance(spark, d):
     score = 1 / (1 + F.exp(-(2 * F.col("p") - F.col("x"))))
     return inference.grouped_importance(frame(spark, d), ["session", "kind"], "id", {"level": ["p"], "place": ["x"]}, score, "y", 7)
+
+
+FE = SIM + ", p AS (SELECT *, list_min(list_transform(list_filter(range(1, least(len(l), 12) - 1), lambda i: l[i] = 0 AND l[i + 1] = 1 AND l[i + 2] = 0), lambda i: i + 2)) AS a, list_min(list_transform(list_filter(range(1, least(len(l), 12) - 2), lambda i: l[i] = 2 AND l[i + 1] = 1 AND l[i + 2] = 0 AND l[i + 3] = 2), lambda i: i + 3)) AS b FROM z)"
+
+
+@query(FE + " SELECT draw, CASE WHEN a IS NULL AND b IS NULL THEN 'none' WHEN b IS NULL OR a <= b THEN 'back' ELSE 'tour' END AS first, count(*) AS sessions FROM p GROUP BY 1, 2")
+def simulated_first_events(spark, d):
+    n = frame(spark, d).groupBy("kind", "session").agg(F.least(F.count(F.lit(1)), F.lit(30)).cast("int").alias("n"))
+    return inference.simulated_first_events(n, ["kind", "session"], "n", FIRST, MOVES, {"back": [0, 1, 0], "tour": [2, 1, 0, 2]}, 12, 3)
+
+
+@query(E + ", g AS (SELECT substr(session, 9, 2)::INT // 5 AS month, kind AS rule, count(*) AS n, sum(net) AS s FROM e GROUP BY 1, 2), k AS (SELECT m.month, r.rule, n, s FROM (SELECT DISTINCT month FROM g) m CROSS JOIN (SELECT DISTINCT rule FROM g) r LEFT JOIN g ON g.month = m.month AND g.rule = r.rule), w AS (SELECT *, coalesce(sum(n) OVER w, 0) AS pn, sum(s) OVER w AS ps FROM k WINDOW w AS (PARTITION BY rule ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), b AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY round(ps / pn, 9) DESC, rule) AS r FROM w WHERE pn >= 30) SELECT m.month, rule, CAST(coalesce(n, 0) AS BIGINT) AS trades, round(s, 6) AS net FROM (SELECT DISTINCT month FROM g) m LEFT JOIN b ON b.month = m.month AND r = 1")
+def monthly_rule_choice(spark, d):
+    e = frame(spark, d).withColumn("month", F.floor(F.substring("session", 9, 2).cast("int") / 5).cast("int")).withColumnRenamed("kind", "rule")
+    return inference.monthly_rule_choice(e, "month", "rule", "net", 30)
+
+
+@query(E + ", s AS (SELECT stock % 20 AS family, session, CASE WHEN max(x) > 0.95 THEN 'up' WHEN max(p) > 0.9 THEN 'down' ELSE 'none' END AS cause FROM e GROUP BY 1, 2) SELECT family, session, count(*) OVER w AS at_risk, round((coalesce(sum((cause = 'up')::INT) OVER w, 0) + 0.5::DOUBLE) / (count(*) OVER w + 1.5), 6) AS hazard_up, round((coalesce(sum((cause = 'down')::INT) OVER w, 0) + 0.5::DOUBLE) / (count(*) OVER w + 1.5), 6) AS hazard_down FROM s WINDOW w AS (PARTITION BY family ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def prequential_hazards(spark, d):
+    s = frame(spark, d).groupBy((F.col("stock") % 20).alias("family"), "session").agg(F.when(F.max("x") > 0.95, "up").when(F.max("p") > 0.9, "down").otherwise("none").alias("cause"))
+    return inference.prequential_hazards(s, ["family"], "session", "cause", ["up", "down"], 0.5)

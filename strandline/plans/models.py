@@ -203,3 +203,27 @@ def change_points(spark, d):
 @query(E + ", s AS (SELECT id, round(2 * p - x, 6) AS score, 2 * p - x >= 0.5 AS admitted FROM e) SELECT id, score, admitted, 'v1' AS rule, sha256(concat_ws('|', CAST(id AS VARCHAR), printf('%.6f', score), CAST(admitted AS VARCHAR), 'v1')) AS receipt FROM s")
 def prediction_receipts(spark, d):
     return models.receipts(frame(spark, d), ["id"], 2 * F.col("p") - F.col("x"), 0.5, "v1")
+
+
+PV = E + ", c AS (SELECT id, kind, session, [x / (x + p + 1), p / (x + p + 1), 1 / (x + p + 1)] AS a FROM e), l AS (SELECT *, lag(a) OVER (PARTITION BY kind, session ORDER BY id) AS b FROM c), h AS (SELECT id, kind, session, b IS NOT NULL AS k, -list_sum(list_transform(a, lambda v: CASE WHEN v > 0 THEN v * ln(v) ELSE 0 END)) AS ha, -list_sum(list_transform(b, lambda v: CASE WHEN v > 0 THEN v * ln(v) ELSE 0 END)) AS hb, -list_sum(list_transform([(a[1] + b[1]) / 2, (a[2] + b[2]) / 2, (a[3] + b[3]) / 2], lambda v: CASE WHEN v > 0 THEN v * ln(v) ELSE 0 END)) AS hm FROM l)"
+
+
+@query(PV + " SELECT kind, session, id, round(CASE WHEN k THEN sqrt(greatest(hm - (ha + hb) / 2, 0)) END, 6) AS velocity, round(CASE WHEN k THEN ha - hb END, 6) AS entropy_change FROM h")
+def posterior_velocity(spark, d):
+    s = F.col("x") + F.col("p") + 1
+    e = frame(spark, d).select("kind", "session", "id", (F.col("x") / s).alias("a"), (F.col("p") / s).alias("b"), (1 / s).alias("c"))
+    return models.posterior_velocity(e, ["kind", "session"], "id", ["a", "b", "c"])
+
+
+@query()
+def cluster_states(spark, d):
+    """States of scaled features, and where they change."""
+    from pyspark.sql import Window
+
+    e = frame(spark, d)
+    g = models.robust_geometry(e, ["kind"], ["net", "x"], F.col("session") < "2024-01-16")
+    z = models.scaled(e, ["kind"], g, ["net", "x"], 3.0)
+    centres = models.fit_clusters(z, ["net", "x"], 3)
+    s = z.select("kind", "session", "id", models.nearest_state(["net", "x"], centres).alias("state"))
+    w = Window.partitionBy("kind", "session").orderBy("id")
+    return s.withColumn("changed", F.coalesce(F.col("state") != F.lag("state").over(w), F.lit(False)))
