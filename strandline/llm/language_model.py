@@ -13,8 +13,9 @@ bytes; a chunk sends its distinct runs, gets their values by a join and adds the
 Of the word counts, executors get the most frequent ``MAX_HEAD``; rarer words are looked up by a join.
 
 Defined results: a null or empty text has n_tokens 1 (the end); without training texts N and V are 0 and every byte is as
-likely; rows that repeat are scored one by one; a null doc_id is not learned from and not held out; other columns, whatever
-their names, are not read.
+likely; rows that repeat are scored one by one; a null doc_id is not learned from and not held out; a very long text is a chunk of
+its own, scored whole; nothing is ranked but words for the head, where ties change the way of a lookup and no score; an empty
+table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

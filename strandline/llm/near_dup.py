@@ -3,9 +3,9 @@
 A document's set of word shingles gives a signature of ``CHUNKS`` x ``WIDTH`` minhashes of b bits. Two documents whose
 signatures differ in at most ``CHUNKS * (ERRORS + 1) - 1`` places have, by the pigeonhole principle, a chunk with at most
 ``ERRORS`` errors; so each chunk is indexed under every choice of ``WIDTH - ERRORS`` of its places, and every such pair meets
-in a bucket. At a similarity of 0.8 a pair differs in 8 of 40 places on average; all ten chunks have two errors or more with a
-probability of 4e-8. Pairs under the distance threshold are confirmed on the full shingle sets, and confirmed links make
-components.
+in a bucket: none under the distance threshold is missed. At a similarity of 0.8 a pair differs in 8 of 40 places on average, and
+in more than the threshold of 19 with a probability of 2e-5, which falls fast above 0.8 (0.85: 2e-7); that is what a signature can
+miss. Pairs under the threshold are confirmed on the full shingle sets, and confirmed links make components.
 
 Documents with equal sets are one class from the start. Links between classes are found in rounds, so that a bucket never
 gives all its pairs: first each member with the smallest of its bucket, then of salted parts of it, and last, only between
@@ -17,7 +17,9 @@ made. Whatever can be linked is compared before two components stay apart, so th
 Defined results: a null, empty or wordless text has n_shingles 0 and is linked with nothing; fewer words than a shingle
 make one; rows that share a doc_id are one node (links through equal sets of any of
 them, other links by the least of their sets); a null doc_id is linked with nothing, has component_id null and is kept;
-other columns, whatever their names, are not read.
+a very long text has a signature like any other, and its set
+in memory of its own size; among equal hashes and equal sets the smallest doc_id speaks for all, so ties give one result; an empty
+table gives no rows; other columns, whatever their names, are not read.
 
 Scale: the text is read once for signatures (a few hundred bytes a document) and once more only for documents in candidate
 pairs. Bucket minima are pre-aggregated; joins on buckets are skew-splittable; components iterate on links alone.

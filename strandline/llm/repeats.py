@@ -11,7 +11,8 @@ window's length, not at all), so only one copy of each takes part in the joins.
 
 Defined results: a null or wordless text has n_words 0 and keeps the empty string; documents of fewer words than a window
 lose nothing; rows that share a doc_id are judged each by its own text against smaller ids only; a null doc_id neither loses nor gives
-words; other columns, whatever their names, are not read.
+words; of equal windows the smallest doc_id keeps its own, and windows equal inside one document stay; a very long text is cut
+into anchors whole, in memory of its own size; an empty table gives no rows; other columns, whatever their names, are not read.
 
 Scale: shuffled are winnowed anchors (one word in about ``(WINDOW - ANCHOR + 2) / 2``), and for shared anchors only their
 digests, window hashes that a digest did not settle, and the texts of affected documents. Groups are aggregated by minimum
