@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.numbers import log, ratio
 from strandline.functions.windows import ordered, six
 
 SESSION, BAR = ["symbol", "session"], ["bar_index"]
@@ -64,14 +65,15 @@ def direction_targets(bars: DataFrame, horizons: Sequence[int]) -> DataFrame:
     most = max(horizons)
     b = with_path(bars, 1, most).withColumn("start", F.first("open").over(ordered(SESSION, BAR).rowsBetween(Window.unboundedPreceding, 0)))
     entry = F.get("path", F.lit(0))["open"]
-    b = b.withColumns({"entry": entry, "before": F.ln(F.col("close") / F.col("start")), "gap": F.ln(entry / F.col("close"))}).where("whole")
+    b = b.withColumns({"entry": entry, "before": log(ratio("close", "start")), "gap": log(ratio(entry, "close"))}).where("whole")
     out = [six(F.col("before")).alias("before"), six(F.col("gap")).alias("gap")]
     for h in horizons:
         run = F.slice("path", 1, h)
-        signed = F.ln(F.get("path", F.lit(h - 1))["close"] / F.col("entry"))
-        up, down = F.greatest(F.array_max(F.transform(run, lambda x: F.ln(x["high"] / F.col("entry")))), F.lit(0.0)), F.greatest(F.array_max(F.transform(run, lambda x: F.ln(F.col("entry") / x["low"]))), F.lit(0.0))
+        close = F.get("path", F.lit(h - 1))["close"]
+        signed = log(ratio(close, "entry"))
+        up, down = F.greatest(F.array_max(F.transform(run, lambda x: log(ratio(x["high"], "entry")))), F.lit(0.0)), F.greatest(F.array_max(F.transform(run, lambda x: log(ratio("entry", x["low"])))), F.lit(0.0))
         all_ = F.abs("before") + F.abs("gap") + F.abs(signed)
-        out += [six(signed).alias(f"return_{h}"), six(up).alias(f"up_{h}"), six(down).alias(f"down_{h}"), F.when(signed != 0, (signed > 0).cast("int")).alias(f"direction_{h}"), six(F.when(all_ > 0, F.abs(signed) / all_)).alias(f"after_{h}")]
+        out += [six(signed).alias(f"return_{h}"), six(up).alias(f"up_{h}"), six(down).alias(f"down_{h}"), F.when(close != F.col("entry"), (close > F.col("entry")).cast("int")).alias(f"direction_{h}"), six(ratio(F.abs(signed), all_)).alias(f"after_{h}")]
     return b.select(*SESSION, "bar_index", *out)
 
 
