@@ -43,13 +43,13 @@ def expected_absolute(iv: Column, minutes: int) -> Column:
 def checkpoint_outcomes(bars: DataFrame, horizon: int, iv: Column, minutes: int = 60, multiples: Sequence[float] = (1.0, 1.5, 2.0)) -> DataFrame:
     """Entry at this bar's open: signed and absolute log return, excursions and their times, path range, and per multiple of the implied deviation when and where it is first passed and whether the return comes back inside. Null where a bar is missing."""
     b = with_path(bars, 0, horizon - 1).withColumn("sigma", sigma(iv, horizon * minutes))
-    logs = lambda c: F.transform("path", lambda x: F.ln(x[c] / F.col("open")))
-    b = b.withColumns({"up": logs("high"), "down": logs("low"), "ret": F.ln(F.get("path", F.lit(horizon - 1))["close"] / F.col("open"))})
+    logs = lambda c: F.transform("path", lambda x: log(ratio(x[c], "open")))
+    b = b.withColumns({"up": logs("high"), "down": logs("low"), "ret": log(ratio(F.get("path", F.lit(horizon - 1))["close"], "open"))})
     b = b.withColumns({"max_up": F.array_max("up"), "max_down": F.array_min("down")})
     best = F.greatest(F.col("max_up"), F.abs("max_down"))
     out = {
         "signed_return": F.round("ret", 6), "exceeds": F.abs("ret") > sigma(iv, horizon * minutes) * (2 / 3.141592653589793) ** 0.5, "max_up": F.round("max_up", 6), "max_down": F.round("max_down", 6), "time_up": _where(F.col("up"), F.col("max_up")), "time_down": _where(F.col("down"), F.col("max_down")),
-        "path_range": F.round(F.ln(F.array_max(F.transform("path", lambda x: x["high"])) / F.array_min(F.transform("path", lambda x: x["low"]))), 6), "sigma_ratio": F.round(best / (F.col("sigma") + 1e-12), 4), "crossed": F.exists("path", lambda x: x["high"] > F.col("open")) & F.exists("path", lambda x: x["low"] < F.col("open")), "reverted": (best / (F.col("sigma") + 1e-12) >= 1.5) & (F.abs("ret") <= 0.5 * best),
+        "path_range": F.round(log(ratio(F.array_max(F.transform("path", lambda x: x["high"])), F.array_min(F.transform("path", lambda x: x["low"])))), 6), "sigma_ratio": F.round(best / (F.col("sigma") + 1e-12), 4), "crossed": F.exists("path", lambda x: x["high"] > F.col("open")) & F.exists("path", lambda x: x["low"] < F.col("open")), "reverted": (best / (F.col("sigma") + 1e-12) >= 1.5) & (F.abs("ret") <= 0.5 * best),
     }
     for m in multiples:
         name, limit = str(m).replace(".", "_"), m * F.col("sigma")
