@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.numbers import log, ratio
 from strandline.functions.windows import before, enough, expanding, islands, ordered, prior, six, trailing
 from strandline.operators.events import folded, run_ledger
 
@@ -211,7 +212,7 @@ def entry_windows(bars: DataFrame, checkpoints: Sequence[int], lengths: Sequence
     rows = bars.select(*SESSION, "bar_index", "open", "high", "low", "close", F.explode(F.array(*[F.struct(F.lit(c).alias("checkpoint"), F.lit(n).alias("length")) for c in checkpoints for n in lengths])).alias("x")).select("*", "x.*")
     rows = rows.where((F.col("bar_index") < F.col("checkpoint")) & (F.col("bar_index") >= F.col("checkpoint") - F.col("length")))
     whole = F.count(F.lit(1)) == F.first("length")
-    return rows.groupBy(*SESSION, "checkpoint", "length").agg(six(F.when(whole, F.ln(F.max_by("close", "bar_index") / F.min_by("open", "bar_index")))).alias("ret"), six(F.when(whole, F.ln(F.max("high") / F.min("low")))).alias("span"))
+    return rows.groupBy(*SESSION, "checkpoint", "length").agg(six(F.when(whole, log(ratio(F.max_by("close", "bar_index"), F.min_by("open", "bar_index"))))).alias("ret"), six(F.when(whole, log(ratio(F.max("high"), F.min("low"))))).alias("span"))
 
 
 def opening_leaders(bars: DataFrame, checkpoints: Sequence[int]) -> DataFrame:
