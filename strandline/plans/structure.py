@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandline.functions.numbers import ratio
 from strandline.functions.windows import ordered
 from strandline.operators import events, structure
 from strandline.plans.registry import H, RUNS, W, query, table
@@ -70,7 +71,7 @@ def quiet_run_clusters(spark, d):
 
 @query(H + f", x AS (SELECT symbol, session, bar_index, high / low AS q FROM b WHERE high / low >= 3), y AS (SELECT *, max(bar_index + 2) {W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far, lag(bar_index) {W}) AS lb FROM x), z AS (SELECT *, sum(CASE WHEN coalesce(bar_index > far OR bar_index - lb > 3, false) THEN 1 ELSE 0 END) {W} ROWS UNBOUNDED PRECEDING) AS i FROM y) SELECT symbol, session, min(bar_index) AS start, max(bar_index + 2) AS \"end\", count(*) AS members, round(max(q), 6) AS largest, arg_max(bar_index, q) AS \"at\" FROM z GROUP BY symbol, session, i")
 def surprise_clusters(spark, d):
-    b = bars.hourly(spark, d).withColumn("q", F.col("high") / F.col("low"))
+    b = bars.hourly(spark, d).withColumn("q", ratio("high", "low"))
     return structure.surprise_clusters(b, "q", 3.0, 2, 3)
 
 
