@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.functions.numbers import ratio
+from strandline.functions.numbers import log, ratio
 from strandline.functions.windows import ordered
 from strandline.operators import events, structure
 from strandline.plans.registry import H, RUNS, W, query, table
@@ -248,7 +248,7 @@ def quiet_state(spark, d):
 @query(H + ", o AS (SELECT symbol, session, CASE WHEN count(*) = 3 THEN ln(arg_max(close, bar_index) / arg_min(open, bar_index)) END AS r, CASE WHEN count(*) = 3 THEN ln(max(high) / min(low)) END AS g FROM b WHERE bar_index < 3 GROUP BY 1, 2) SELECT symbol, session, CASE WHEN r IS NULL OR g IS NULL THEN 'UNKNOWN_INCOMPLETE' WHEN r <= -0.5 AND g >= 0.8 THEN 'NEGATIVE_SEVERE_OPENING_TRANSITION' WHEN r >= 0.5 AND g >= 0.8 THEN 'POSITIVE_SEVERE_OPENING_TRANSITION' WHEN g >= 0.8 THEN 'ELEVATED_OPENING_RANGE_NONDIRECTIONAL' ELSE 'NORMAL_OPENING' END AS state FROM o")
 def opening_transition(spark, d):
     whole = F.count(F.lit(1)) == 3
-    o = bars.hourly(spark, d).where("bar_index < 3").groupBy(*SESSION).agg(F.when(whole, F.ln(F.max_by("close", "bar_index") / F.min_by("open", "bar_index"))).alias("r"), F.when(whole, F.ln(F.max("high") / F.min("low"))).alias("g"))
+    o = bars.hourly(spark, d).where("bar_index < 3").groupBy(*SESSION).agg(F.when(whole, log(ratio(F.max_by("close", "bar_index"), F.min_by("open", "bar_index")))).alias("r"), F.when(whole, log(ratio(F.max("high"), F.min("low")))).alias("g"))
     return o.select(*SESSION, structure.opening_transition(F.col("r"), F.col("g"), -0.5, 0.5, 0.8).alias("state"))
 
 
