@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandline.functions.numbers import log, ratio
 from strandline.functions.windows import ordered
 from strandline.operators import features, trajectories
 from strandline.plans.registry import H, RUNS, W, WD, D, query
@@ -134,7 +135,7 @@ VS = H + f", v AS (SELECT symbol, session, bar_index, [ln(close), ln(high / low)
 
 @query(VS + " SELECT symbol, session, bar_index, round(ve, 6) AS velocity, round(ac, 6) AS acceleration, round(pa, 6) AS path, round(fa / nullif(pa, 0), 6) AS consistency FROM q")
 def trajectory_features(spark, d):
-    v = bars.hourly(spark, d).select(*SESSION, "bar_index", F.array(F.ln("close"), F.ln(F.col("high") / F.col("low")), "volume").alias("x"))
+    v = bars.hourly(spark, d).select(*SESSION, "bar_index", F.array(log("close"), log(ratio("high", "low")), "volume").alias("x"))
     return trajectories.vector_steps(v, SESSION, "bar_index", "x")
 
 

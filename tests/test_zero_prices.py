@@ -26,7 +26,7 @@ def told(v):
     return v if not isinstance(v, float) else "no number" if math.isnan(v) else round(v, 6) + 0.0
 
 
-@pytest.mark.parametrize("name", ["direction_targets", "checkpoint_outcomes", "entry_windows", "surprise_clusters", "opening_transition"])
+@pytest.mark.parametrize("name", ["direction_targets", "checkpoint_outcomes", "entry_windows", "surprise_clusters", "opening_transition", "trajectory_features"])
 def test_zero_prices_equal_sql(spark, data, name):
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{data}/events.parquet/*.parquet'")
