@@ -131,17 +131,20 @@ def path_counts(states: DataFrame, by: list[str], order: str, state: str, candid
     """How often each candidate path of states (an array of two or more) stands in the sessions, and how often a first-order chain would show it: its starts with room for it, times its steps' probabilities."""
     w = Window.partitionBy(*by).orderBy(order)
     longest = 4
-    s = states.withColumns({"__path": F.array(*[F.lead(state, k).over(w) for k in range(longest)]), "__left": F.count(F.lit(1)).over(w.rowsBetween(0, Window.unboundedFollowing))})
-    moves = s.where("__left > 1").groupBy(F.col("__path")[0].alias("a"), F.col("__path")[1].alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    moves = moves.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("a")))
+    # leads are bounded frames; a count of all rows to come would be read anew at each row
+    s = states.select(F.array(*[F.lead(state, k).over(w) for k in range(longest)]).alias("__path"), sum((F.coalesce(F.lead(F.lit(1), k).over(w), F.lit(0)) for k in range(1, longest)), F.lit(1)).alias("__left"))
+    windows = s.groupBy("__path", "__left").agg(F.count(F.lit(1)).alias("__n"))
     # every window of each length, counted before it meets the candidates
-    grams = reduce(DataFrame.unionByName, [s.where(F.col("__left") >= k).groupBy(F.slice("__path", 1, k).alias("path")).agg(F.count(F.lit(1)).alias("count")) for k in range(2, longest + 1)])
-    starts = reduce(DataFrame.unionByName, [s.where(F.col("__left") >= k).groupBy(F.col("__path")[0].alias("first"), F.lit(k).alias("length")).agg(F.count(F.lit(1)).alias("starts")) for k in range(2, longest + 1)])
+    grams = windows.where("__left > 1").select(F.explode(F.transform(F.sequence(F.lit(2), F.col("__left")), lambda k: F.slice("__path", 1, k))).alias("path"), "__n").groupBy("path").agg(F.sum("__n").alias("count"))
+    moves = grams.where(F.size("path") == 2).select(F.col("path")[0].alias("a"), F.col("path")[1].alias("b"), F.col("count").alias("n"))
+    moves = moves.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("a")))
+    starts = grams.groupBy(F.col("path")[0].alias("first"), F.size("path").alias("length")).agg(F.sum("count").alias("starts"))
     c = candidates.select("path", F.col("path")[0].alias("first"), F.size("path").alias("length"))
     steps = c.select("path", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("i", "a")).withColumn("b", F.element_at("path", F.col("i") + 2))
-    chance = steps.join(moves, ["a", "b"], "left").groupBy("path").agg(F.min(F.coalesce("p", F.lit(0.0))).alias("__least"), F.exp(F.sum(F.ln("p"))).alias("__p"))
+    chance = steps.join(moves, ["a", "b"], "left").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("p", F.lit(0.0)).alias("p")))).alias("__steps"))
     out = c.join(grams, "path", "left").join(starts, ["first", "length"], "left").join(chance, "path")
-    return out.select("path", F.coalesce("count", F.lit(0)).alias("count"), six(F.coalesce("starts", F.lit(0)) * F.when(F.col("__least") == 0, 0.0).otherwise(F.col("__p"))).alias("expected"))
+    expected = F.aggregate("__steps", F.coalesce("starts", F.lit(0)).cast("double"), lambda t, x: t * x["p"])
+    return out.select("path", F.coalesce("count", F.lit(0)).alias("count"), six(expected).alias("expected"))
 
 
 def simulated(sessions: DataFrame, key: list[str], length: str, first: Mapping[int, float], moves: Mapping[int, Mapping[int, float]], draws: int) -> DataFrame:
