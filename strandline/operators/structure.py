@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.numbers import ratio, rounded
 from strandline.functions.windows import expanding, islands, ordered, six, trailing
 from strandline.operators.events import folded, run_ledger
 
@@ -39,23 +40,23 @@ def event_features(bars: DataFrame, opening: int = 3) -> DataFrame:
     w, run = ordered(SESSION, BAR), expanding(SESSION, BAR)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     c = F.col
-    back = lambda k: F.try_divide(c("close"), F.lag("close", k).over(w)) - 1
+    back = lambda k: ratio(c("close"), F.lag("close", k).over(w)) - 1
     b = bars.withColumns({
-        "bar_return": six(F.try_divide(c("close"), c("open")) - 1), "last_close": F.lag("close").over(w), "last_high": F.lag("high").over(w), "recent_high": F.max("high").over(w.rowsBetween(-12, -1)), "recent_low": F.min("low").over(w.rowsBetween(-12, -1)),
+        "bar_return": rounded(ratio(c("close"), c("open")) - 1), "last_close": F.lag("close").over(w), "last_high": F.lag("high").over(w), "recent_high": F.max("high").over(w.rowsBetween(-12, -1)), "recent_low": F.min("low").over(w.rowsBetween(-12, -1)),
         "new_high": F.coalesce(c("high") > F.max("high").over(before), F.lit(False)), "new_low": F.coalesce(c("low") < F.min("low").over(before), F.lit(False)), "first_open": F.first("open").over(run), "low_so_far": F.min("low").over(run),
-        "vwap": F.try_divide(F.sum((c("high") + c("low") + c("close")) / 3 * c("volume")).over(run), F.sum("volume").over(run)), "step": F.abs(c("close") - F.lag("close").over(w)),
+        "vwap": ratio(F.sum((c("high") + c("low") + c("close")) / 3 * c("volume")).over(run), F.sum("volume").over(run)), "step": F.abs(c("close") - F.lag("close").over(w)),
         "high_12": F.when(F.count("high").over(trailing(SESSION, BAR, 12)) >= 3, F.max("high").over(trailing(SESSION, BAR, 12))), "low_12": F.when(F.count("low").over(trailing(SESSION, BAR, 12)) >= 3, F.min("low").over(trailing(SESSION, BAR, 12))), "ago_12": F.lag("close", 12).over(w),
         "or_high": F.max(F.when(c("bar_index") < opening, c("high"))).over(Window.partitionBy(*SESSION)), "or_low": F.min(F.when(c("bar_index") < opening, c("low"))).over(Window.partitionBy(*SESSION)),
-        **{f"prior_{k}": six(back(k)) for k in (3, 6, 12)}, "volume_3": F.avg("volume").over(trailing(SESSION, BAR, 3)), "volume_9": F.avg("volume").over(w.rowsBetween(-11, -3)),
+        **{f"prior_{k}": rounded(back(k)) for k in (3, 6, 12)}, "volume_3": F.avg("volume").over(trailing(SESSION, BAR, 3)), "volume_9": F.avg("volume").over(w.rowsBetween(-11, -3)),
     })
     known = c("bar_index") >= opening
     span = c("high") - c("low")
     b = b.withColumns({"or_low": F.when(known, c("or_low")), "or_mid": F.when(known, (c("or_high") + c("or_low")) / 2)})
     travelled = lambda k: F.sum("step").over(trailing(SESSION, BAR, k))
     return b.withColumns({
-        "close_location": six(F.try_divide(c("close") - c("low"), span)), "upper_wick": six(F.try_divide(c("high") - F.greatest("open", "close"), span)), "lower_wick": six(F.try_divide(F.least("open", "close") - c("low"), span)), "dist_vwap": six(c("close") / c("vwap") - 1), "dist_mid": six(F.try_divide(c("close"), c("or_mid")) - 1), "dist_low": six(F.try_divide(c("close"), c("low_so_far")) - 1), "dist_open": six(F.try_divide(c("close"), c("first_open")) - 1),
-        "impulse_mid": F.coalesce(c("ago_12") + (c("high_12") - c("ago_12")) * 0.5, (c("high_12") + c("low_12")) / 2), "impulse": six(F.try_divide(c("high_12"), c("ago_12")) - 1), "volume_ratio": six(F.try_divide(c("volume_3"), c("volume_9"))), "depth": six(F.try_divide(c("close"), c("high_12")) - 1), "reclaim": six(F.try_divide(c("close"), c("low_12")) - 1),
-        **{f"efficiency_{k}": six(F.try_divide(F.abs(c("close") - F.lag("close", k).over(w)), travelled(k))) for k in (6, 12)},
+        "close_location": rounded(F.try_divide(c("close") - c("low"), span)), "upper_wick": rounded(F.try_divide(c("high") - F.greatest("open", "close"), span)), "lower_wick": rounded(F.try_divide(F.least("open", "close") - c("low"), span)), "dist_vwap": rounded(ratio("close", "vwap") - 1), "dist_mid": rounded(ratio(c("close"), c("or_mid")) - 1), "dist_low": rounded(ratio(c("close"), c("low_so_far")) - 1), "dist_open": rounded(ratio(c("close"), c("first_open")) - 1),
+        "impulse_mid": F.coalesce(c("ago_12") + (c("high_12") - c("ago_12")) * 0.5, (c("high_12") + c("low_12")) / 2), "impulse": rounded(ratio(c("high_12"), c("ago_12")) - 1), "volume_ratio": rounded(ratio(c("volume_3"), c("volume_9"))), "depth": rounded(ratio(c("close"), c("high_12")) - 1), "reclaim": rounded(ratio(c("close"), c("low_12")) - 1),
+        **{f"efficiency_{k}": rounded(F.try_divide(F.abs(c("close") - F.lag("close", k).over(w)), travelled(k))) for k in (6, 12)},
     })
 
 

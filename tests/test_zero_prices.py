@@ -6,8 +6,10 @@ from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strandline import catalogue
+from strandline.functions.numbers import rounded
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +28,7 @@ def told(v):
     return v if not isinstance(v, float) else "no number" if math.isnan(v) else round(v, 6) + 0.0
 
 
-@pytest.mark.parametrize("name", ["direction_targets", "checkpoint_outcomes", "entry_windows", "surprise_clusters", "opening_transition", "trajectory_features"])
+@pytest.mark.parametrize("name", ["direction_targets", "checkpoint_outcomes", "entry_windows", "surprise_clusters", "opening_transition", "trajectory_features", "event_features"])
 def test_zero_prices_equal_sql(spark, data, name):
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{data}/events.parquet/*.parquet'")
@@ -37,3 +39,9 @@ def test_zero_prices_equal_sql(spark, data, name):
     at = [[x[0] for x in r.description].index(c) for c in columns]
     assert got == sorted((tuple(told(x[i]) for i in at) for x in r.fetchall()), key=repr)
     assert any(v == "no number" or v in (math.inf, -math.inf) for row in got for v in row) or name == "opening_transition"
+
+
+def test_halves_round_as_in_sql(spark):
+    values = [98.99 / 32 - 1, 98.99 / 32, 0.1234565, 2.5e-06, -1.0000005, 1e9 + 0.0000005]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").orderBy("i").select(rounded(F.col("x"))).collect()]
+    assert got == [duckdb.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in values]
