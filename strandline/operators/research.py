@@ -8,6 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.numbers import log, ratio
 from strandline.functions.windows import enough, expanding, islands, ordered, six, trailing
 from strandline.operators.backtest import BY, ORDER
 
@@ -81,18 +82,18 @@ def directed(position: Column, direction: str) -> Column:
 def measures(returns: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Net and gross return, costs, trades, exposure, win rate of rebalance rows, and drawdown of evaluated rows (gross, net, turnover, position)."""
     w = expanding(by, order)
-    r = returns.withColumn("__e", F.sum(F.log1p("net")).over(w))
+    r = returns.withColumn("__e", F.sum(log(1 + F.col("net"))).over(w))
     r = r.withColumn("__d", F.exp(F.col("__e") - F.max("__e").over(w)) - 1)
     traded = F.col("turnover") > 0
     return r.groupBy(*by).agg(
-        (F.exp(F.sum(F.log1p("gross"))) - 1).alias("gross_return"), (F.exp(F.sum(F.log1p("net"))) - 1).alias("net_return"), F.sum(F.col("gross") - F.col("net")).alias("costs"), F.count_if(traded).alias("trades"), F.avg(F.abs("position")).alias("exposure"), F.coalesce(F.avg(F.when(traded, (F.col("net") > 0).cast("double"))), F.lit(0.0)).alias("win_rate"), F.min("__d").alias("max_drawdown"),
+        (F.exp(F.sum(log(1 + F.col("gross")))) - 1).alias("gross_return"), (F.exp(F.sum(log(1 + F.col("net")))) - 1).alias("net_return"), F.sum(F.col("gross") - F.col("net")).alias("costs"), F.count_if(traded).alias("trades"), F.avg(F.abs("position")).alias("exposure"), F.coalesce(F.avg(F.when(traded, (F.col("net") > 0).cast("double"))), F.lit(0.0)).alias("win_rate"), F.min("__d").alias("max_drawdown"),
     )
 
 
 def scored(rows: DataFrame, by: list[str], order: list[str], bps: float) -> DataFrame:
     """The one-bar lag and costs inside each group: the first row of a group earns nothing and pays its whole position."""
     w = ordered(by, order)
-    move = F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1, F.lit(0.0))
+    move = F.coalesce(ratio("close", F.lag("close").over(w)) - 1, F.lit(0.0))
     held = F.coalesce(F.lag("position").over(w), F.lit(0.0))
     turn = F.abs(F.col("position") - held)
     return rows.withColumns({"gross": held * move, "turnover": turn}).withColumn("net", F.col("gross") - F.col("turnover") * bps / 10000)

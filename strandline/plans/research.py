@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandline.functions.numbers import log
 from strandline.functions.windows import enough, ordered, six, trailing
 from strandline.operators import research
 from strandline.plans.registry import D as PLAIN
@@ -39,7 +40,7 @@ TOLD = " SELECT * REPLACE (round(ln(1 + gross_return), 6) AS gross_return, round
 
 
 def told(m):
-    return m.withColumns({c: six(F.log1p(c)) for c in ("gross_return", "net_return")} | {c: six(F.col(c)) for c in ("costs", "exposure", "win_rate", "max_drawdown")})
+    return m.withColumns({c: six(log(1 + F.col(c))) for c in ("gross_return", "net_return")} | {c: six(F.col(c)) for c in ("costs", "exposure", "win_rate", "max_drawdown")})
 
 
 def _splits(spark, d):

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from strandline import catalogue
 from strandline.functions.numbers import rounded
+from strandline.operators import research
+from strandline.plans import research as plans
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +47,12 @@ def test_halves_round_as_in_sql(spark):
     values = [98.99 / 32 - 1, 98.99 / 32, 0.1234565, 2.5e-06, -1.0000005, 1e9 + 0.0000005]
     got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").orderBy("i").select(rounded(F.col("x"))).collect()]
     assert got == [duckdb.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in values]
+
+
+def test_total_losses_are_told_as_minus_infinity(spark):
+    nets = {"all lost": [0.1, -1.0, 0.1], "worn away": [-0.9] * 20, "more than all": [-1.5, 0.1], "kept": [0.25, -0.1]}
+    rows = [(s, i, n, n, 1.0, 1.0) for s, ns in nets.items() for i, n in enumerate(ns)]
+    df = spark.createDataFrame(rows, "symbol string, session int, gross double, net double, turnover double, position double")
+    got = {r.symbol: told(r.net_return) for r in plans.told(research.measures(df, ["symbol"], ["session"])).collect()}
+    log = lambda ns: duckdb.execute("select round(ln(1 + (exp(sum(ln(1 + x))) - 1)), 6) from unnest(?::double[]) t(x)", [ns]).fetchone()[0]
+    assert got == {s: told(log(ns)) for s, ns in nets.items()} and got["worn away"] == -math.inf
