@@ -305,7 +305,7 @@ def trade_side(spark, d):
 def interval_join(spark, d):
     p = _t(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand"), "p_retailprice")
     s = p.select("brand", F.col("p_partkey").alias("k"), (F.col("p_retailprice") - 5).alias("lo"), (F.col("p_retailprice") + 5).alias("hi"))
-    return joins.interval_join(p, s, ["brand"], "p_retailprice", "lo", "hi", 10.0).select("p_partkey", "k")
+    return joins.interval_join(p, s, ["brand"], "p_retailprice", "lo", "hi", 10.0, copies=True).select("p_partkey", "k")
 
 
 @query("WITH t AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) - 1 AS s FROM customer WHERE c_acctbal < 0), c AS (SELECT c_nationkey, c_mktsegment, c_custkey, (row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) - 1) // 2 AS s FROM customer WHERE c_acctbal >= 0) SELECT t.c_custkey, c.c_custkey AS control_c_custkey FROM t JOIN c USING (c_nationkey, c_mktsegment, s)")

@@ -33,11 +33,26 @@ def prior_k(left: DataFrame, right: DataFrame, by: Sequence[str], on: Sequence[s
     return out.select("__l.*", *[F.get("__m", F.lit(i)).alias(f"prior_{i + 1}") for i in range(k)])
 
 
-def interval_join(points: DataFrame, spans: DataFrame, by: Sequence[str], at: str, start: str, end: str, width: float) -> DataFrame:
-    """Points with the spans that hold them (start <= at < end): spans are dealt over buckets of a width, so it stays an equi-join."""
-    p = points.withColumn("__b", F.floor(F.col(at) / width))
-    s = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    return p.join(s, [*by, "__b"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("__b")
+def interval_join(points: DataFrame, spans: DataFrame, by: Sequence[str], at: str, start: str, end: str, width: float, copies: bool = False) -> DataFrame:
+    """Points with the spans that hold them (start <= at < end): spans are dealt over buckets of a width, so it stays an equi-join.
+    With ``copies``, equal points and equal spans are joined once, as arrays, and all their pairs come from the arrays."""
+    p, s = (_gathered(points, [*by, at], "__p"), _gathered(spans, [*by, start, end], "__s")) if copies else (points, spans)
+    p = p.withColumn("__b", F.floor(F.col(at) / width))
+    s = s.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    j = p.join(s, [*by, "__b"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("__b")
+    if not copies:
+        return j
+    j = j.withColumn("__p", F.explode("__p")).withColumn("__s", F.explode("__s"))
+    side = lambda df, x, keys: [F.col(c) if c in keys else F.col(f"{x}.{c}") for c in df.columns if c not in by]
+    return j.select(*by, *side(points, "__p", [at]), *side(spans, "__s", [start, end]))
+
+
+def _gathered(rows: DataFrame, keys: Sequence[str], name: str, most: int = 1024) -> DataFrame:
+    """Rows of equal keys as arrays of their other columns, ``most`` at a time: one shuffle on the keys."""
+    rest = [c for c in rows.columns if c not in keys]
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) - 1
+    r = rows.withColumn("__n", F.floor(n / most))
+    return r.groupBy(*keys, "__n").agg(F.collect_list(F.struct(*rest) if rest else F.struct(F.lit(1))).alias(name)).drop("__n")
 
 
 def matched_controls(treated: DataFrame, pool: DataFrame, strata: Sequence[str], order: Sequence[str], cap: int = 2) -> DataFrame:
